@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksmith.llm.common import materialize
@@ -23,13 +23,13 @@ from tracksmith.llm.common import materialize
 DELETED = " \t\n\x0b\x0c\r"
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.length(text).cast("long").alias("n_points"),
-        F.sha2(F.translate(text, DELETED, ""), 256).alias("digest"),
-    )
+def digest_column() -> Column:
+    return F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), DELETED, ""), 256)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    length = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("n_points"), digest_column().alias("digest"))
 
 
 class DigestIndex:
