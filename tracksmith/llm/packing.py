@@ -105,7 +105,7 @@ def tokenized_pieces(docs: DataFrame, path: str, size: int, end_id: int, with_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(path)
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate([ids, end])
