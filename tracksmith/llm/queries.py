@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracksmith.llm.embeddings import op1_embeddings
 from tracksmith.llm.exact import OP7_SQL, op7_exact_dedup
+from tracksmith.llm.katz import op9_katz
 from tracksmith.llm.licenses import op8_licenses
 from tracksmith.llm.mixing import op6_source_mix
 from tracksmith.llm.packing import op10_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_licenses": op8_licenses,
+    "op9_katz": op9_katz,
     "op10_packing": op10_packing,
 }
 
