@@ -153,21 +153,21 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Rows equal in doc_id and text carry the other columns of one of them.
     """
     mix = plan_mix(docs, **options)
-    key = ["doc_id", "text_hash"]
+    key = ["_id", "_no_id", "_hash"]  # never null, and of one type on both sides: the texts are exchanged once
+    own = lambda i, h: [F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_no_id"), h.alias("_hash")]
     taken = (
         mix.pieces.groupBy("source_rank", "start", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_spans"), F.sum(F.col("high") - F.col("low")).alias("_n"))
         .join(mix.docs, ["source_rank", "start"])
         .where("size > 0")
-        .select(F.struct(*key).alias("_key"), "_spans", "_n", "size")
+        .select(*own(F.col("doc_id"), F.col("text_hash")), "_spans", "_n", "size")
     )
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    texts = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key"), whole.alias("_row"))
-    texts = texts.groupBy("_key").agg(F.first("_row").alias("_row"))
+    texts = docs.select(*own(F.col("doc_id").cast("long"), F.xxhash64("text")), whole.alias("_row")).groupBy(*key).agg(F.first("_row").alias("_row"))
     words = F.expr(f"filter(split(_row.text, '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\"))
     cut = F.concat_ws(" ", F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))))
     text = F.when(F.col("_n") == F.col("size"), F.col("_row.text")).otherwise(cut)
-    new = taken.join(texts, taken._key.eqNullSafe(texts._key)).withColumn("_text", text)
+    new = taken.join(texts, key).withColumn("_text", text)
     out = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return new.select(*[(out[c] if c in out else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
