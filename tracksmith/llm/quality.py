@@ -110,7 +110,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     picked = picked.select(F.col("doc_id").alias("_id"), (F.col("_q") >= 0.5).cast("int").alias("_y"))
-    found = docs.join(F.broadcast(picked), docs.doc_id == F.col("_id")).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
+    docs = docs.select("doc_id", "text")
+    found = docs.join(F.broadcast(picked), docs.doc_id == picked._id).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
     found = found.groupBy("_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y")).orderBy("_id").collect()
     return [r["text"] for r in found], [r["_y"] for r in found]
 

@@ -179,7 +179,7 @@ def pigeonhole_plan(fps: DataFrame, n: int, radius: int) -> list[tuple[tuple[int
 
 
 def _probe_rows(plan: list[tuple[tuple[int, ...], int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    masks = [np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)], dtype=np.int64) for bits, t in plan]
+    masks = [np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(len(bits)), k)], dtype=np.uint64).view(np.int64) for bits, t in plan]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -141,7 +141,8 @@ def starts_record(file, at: int) -> bool:
 def unbroken(file, at: int, end: int, size: int) -> bool:
     """Whether whole members follow each other from ``at`` to the first start at or after ``end``.
 
-    A gzip member may hold another archive as stored bytes; its chain breaks where it ends.
+    A gzip member may hold another archive as stored bytes; its chain breaks where it ends, and
+    it is told apart unless it reaches over the end of the range.
     """
     while at < size:
         if not starts_record(file, at):
