@@ -42,7 +42,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     digest = spare_name(docs, "digest")
     own = docs.withColumn(digest, digest_column())
-    left = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_digest")), "left_anti")
+    left = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own[digest] == gone["_digest"]), "left_anti")
     if not decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         # rows repeated with one doc_id: the longest of each text stays
         order = Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc())
