@@ -207,3 +207,21 @@ def test_daily_means_stream(spark, sf_dir, tmp_path):
         q.stop()
     want = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.avg("value")).count()
     assert spark.table("daily").count() == want
+
+
+def test_compressed_clips_are_written_read_and_checked(spark, sf_dir, tmp_path):
+    from tracksmith.operators import storage
+    from tracksmith.sources import views
+
+    samples = views.embedding_tracks(spark, sf_dir).where("track_index < 6")
+    clips = storage.compress(samples, 0.05, 30.0, samples.select("clip_id", "track_index", F.concat(F.lit("t"), "track_index").alias("name")).distinct())
+    clips.write(str(tmp_path / "clips"))
+    back = storage.read(spark, str(tmp_path / "clips"))
+    assert back.tracks.where("name <> concat('t', track_index)").count() == 0
+    assert all(r.is_valid for r in storage.validity(back).collect())
+    broken = storage.CompressedClips(back.header, back.tracks, back.codes.withColumn("code", F.when(F.col("sample_index") == 3, F.col("code") + 1).otherwise(F.col("code"))))
+    assert not any(r.is_valid for r in storage.validity(broken).collect())
+    met = storage.to_samples(back).withColumnRenamed("v", "lossy").join(samples, ["clip_id", "track_index", "sample_index"])
+    assert met.count() == samples.count() and met.where("abs(lossy - v) > 0.05").count() == 0
+    plan = storage.to_samples(storage.only_track(back, 2))._jdf.queryExecution().toString()
+    assert "EqualTo(track_index,2)" in plan

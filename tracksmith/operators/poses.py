@@ -201,3 +201,45 @@ def fill_defaults(poses: DataFrame, classes: DataFrame, mode: str, sub_track: st
         "legacy": qvv.vec(*[0.0 if additive1 else 1.0] * 3) if sub_track == "scale" else constant,
     }[mode]
     return met.withColumn(column, F.when(F.col("is_default"), value).otherwise(F.col(column))).drop("is_default")
+
+
+def pose_loops(poses: DataFrame, shells: DataFrame, metric: ErrorMetric | None = None) -> DataFrame:
+    """(clip_id, num_samples, loops): first and last pose agree within every bone's precision at its shell."""
+    metric = metric or QvvMetric()
+    x = transform()
+    ends = poses.groupBy("clip_id", "bone").agg(F.min_by(x, "sample_index").alias("x0"), F.max_by(x, "sample_index").alias("x1"), F.count("*").alias("n"))
+    met = ends.join(shells.select("clip_id", "bone", "shell", "precision"), ["clip_id", "bone"])
+    same = metric.error(F.col("x0"), F.col("x1"), F.col("shell")) <= F.col("precision")
+    return met.groupBy("clip_id").agg(F.max("n").alias("num_samples"), ((F.max("n") > 1) & F.bool_and(same)).alias("loops"))
+
+
+def trim_pose_loops(poses: DataFrame, loops: DataFrame) -> DataFrame:
+    return poses.join(loops, "clip_id").where("NOT loops OR sample_index < num_samples - 1").select(*poses.columns)
+
+
+def sanitize(poses: DataFrame, classes: DataFrame) -> DataFrame:
+    """Constant sub-tracks become their first sample, default ones the default value."""
+    first = poses.where("sample_index = 0").select("clip_id", "bone", F.col("q").alias("q0"), F.col("t").alias("t0"), F.col("s").alias("s0"))
+    wide = classes.groupBy("clip_id", "bone").pivot("sub_track", ["rotation", "translation", "scale"]).agg(F.first("class"))
+    met = poses.join(first, ["clip_id", "bone"]).join(wide, ["clip_id", "bone"])
+    plain = {"q": ("rotation", qvv.vec(*qvv.IDENTITY_Q)), "t": ("translation", qvv.vec(0, 0, 0)), "s": ("scale", qvv.vec(1, 1, 1))}
+    new = {c: F.when(F.col(k) == "default", d).when(F.col(k) == "constant", F.col(f"{c}0")).otherwise(F.col(c)) for c, (k, d) in plain.items()}
+    return met.withColumns(new).select(*poses.columns)
+
+
+def clip_flags(classes: DataFrame) -> DataFrame:
+    """(clip_id, has_scale, num_default, num_constant, num_animated, constant_bytes): three floats a constant."""
+    kind = lambda c: F.count_if(F.col("class") == c)
+    return classes.groupBy("clip_id").agg(
+        F.bool_or((F.col("sub_track") == "scale") & (F.col("class") != "default")).alias("has_scale"),
+        kind("default").alias("num_default"),
+        kind("constant").alias("num_constant"),
+        kind("animated").alias("num_animated"),
+        (kind("constant") * 12).alias("constant_bytes"),
+    )
+
+
+def base_time(time, duration, base_duration) -> Column:
+    """When an additive clip's base is sampled: the same share of its own duration."""
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.when(c(duration) <= 0, 0.0).otherwise(c(time) / F.when(c(duration) <= 0, 1.0).otherwise(c(duration)) * c(base_duration))
