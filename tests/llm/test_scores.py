@@ -171,3 +171,10 @@ def test_url_intervals(spark):
 
 def test_exact_query_equals_sql(spark, sf_dir):
     assert_same(exact.op7_exact_dedup(spark, sf_dir), exact.OP7_SQL, sf_dir)
+
+
+def test_katz_replies_by_shuffle(docs, monkeypatch):
+    scores = lambda: sorted(r.score for r in katz.score_corpus(docs, chunk_tokens=3_000).collect())
+    want = scores()
+    monkeypatch.setattr(katz, "BROADCAST_BYTES", 0)
+    assert scores() == pytest.approx(want)

@@ -37,7 +37,7 @@ from tracksmith.llm.common import crc_mod, materialize
 
 #: Counts up to which Good-Turing discounts apply, and the least count of a bigram of its own.
 TOP, KEPT = 5, 2
-CHUNK_TOKENS, CHUNK_DOCS, BUCKET_TOKENS = 4_500_000, 60_000, 2_500_000
+CHUNK_TOKENS, CHUNK_DOCS, BUCKET_TOKENS = 1_000_000, 60_000, 2_500_000
 #: No word holds a space, so these hash no word.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" start"))
 BROADCAST_BYTES = 64 << 20
@@ -91,12 +91,14 @@ class Words:
 
 
 def freeze(*arrays: np.ndarray) -> bytes:
-    """Arrays to bytes; those that compress are compressed."""
+    """Arrays to bytes. Hashes stay as they are; of other numbers all first bytes, then all second ones
+    and so on are compressed, as high bytes hardly differ."""
     out = []
     for a in arrays:
-        raw = np.ascontiguousarray(a).tobytes()
-        packed = raw if a.dtype.kind == "V" or a.dtype == np.uint64 else zstandard.compress(raw, 3)
-        out += [struct.pack("<4sIB", a.dtype.str.encode().ljust(4)[:4], len(packed), packed is not raw), packed]
+        a = np.ascontiguousarray(a)
+        hashes = a.dtype.kind == "V" or a.dtype == np.uint64
+        packed = a.tobytes() if hashes else zstandard.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"", 3)
+        out += [struct.pack("<4sIB", a.dtype.str.encode().ljust(4)[:4], len(packed), not hashes), packed]
     return b"".join(out)
 
 
@@ -105,8 +107,12 @@ def thaw(raw: bytes) -> list[np.ndarray]:
     while at < len(raw):
         kind, size, packed = struct.unpack_from("<4sIB", raw, at)
         at += 9
-        body = raw[at : at + size]
-        out.append(np.frombuffer(zstandard.decompress(body) if packed else body, dtype=kind.strip().decode()))
+        body, dtype = raw[at : at + size], np.dtype(kind.strip().decode())
+        if packed:
+            planes = np.frombuffer(zstandard.decompress(body), dtype=np.uint8).reshape(dtype.itemsize, -1)
+            out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
+        else:
+            out.append(np.frombuffer(body, dtype=dtype))
         at += size
     return out
 
@@ -239,7 +245,9 @@ def _pairs(encoded: DataFrame, words: Words, starts: int, buckets: int, hot_leas
                 # one number a (bigram, document), then one a bigram
                 code = history * v + tokens
                 pair, place = np.unique(code, return_inverse=True)
+                del code, history
                 both, times = np.unique(place.astype(np.int64) * len(lengths) + doc, return_counts=True)
+                del place, doc
                 of_pair, of_doc = both // len(lengths), both % len(lengths)
                 in_train = np.bincount(of_pair, weights=times * train[of_doc], minlength=len(pair)).astype(np.uint32)
                 n_docs = np.bincount(of_pair, minlength=len(pair))
