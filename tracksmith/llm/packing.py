@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +28,56 @@ from tracksmith.llm.common import materialize, running_total
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_hash long"
 TOKENIZER = "word_bpe_49k.json"
+#: Words a Python worker remembers, about 200 bytes each; the number changes speed and memory only.
+WORDS = 1_600_000
 ASCII_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
+#: Byte-level tokenizers show printable bytes as themselves and the others, in order, from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words never cross ASCII white space.
 
-    Words are encoded once and remembered; beyond ``memory`` words the memory starts anew. New
-    words are encoded as one text, parted by ``mark``, a word of one id that no other word
+    Words are encoded once and remembered, up to ``memory`` of them in two halves: once the newer
+    half is full, the older one is forgotten, so frequent words stay. New words are encoded as one text, parted by ``mark``, a word of one id that no other word
     contains; words that do contain it are encoded alone.
     """
 
     mark = "|"
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+        self.tokenizer, self.memory, self.known, self.older = Tokenizer.from_file(path), memory, {}, {}
+        self.model = self.tokenizer.model
         (self.mark_id,) = self._ids(self.mark)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def _lone(self, word: bytes) -> bytes | None:
+        """The ids of a word of lower-case letters in composed form, straight from the merges: nothing
+        before them would change or split it."""
+        text = word.decode("utf-8")
+        if not text.isalpha() or text != text.lower() or not (text.isascii() or is_normalized("NFC", text)):
+            return None
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_CHARS))])
+
     def _learn(self, words: set[bytes]) -> None:
         """A word that ends in a letter and then points is its stem and the points: the tokenizer splits there."""
         mark, known = self.mark.encode(), self.known
         pairs = [(w, stem) for w in words if (stem := w.rstrip(b".,!?")) != w and stem and stem[-1] in ASCII_LETTERS]
         words = words.difference(w for w, _ in pairs).union(stem for _, stem in pairs).difference(known)
-        plain = [w for w in words if mark not in w]
+        plain = []
         for w in words:
-            if mark in w:
+            if (ids := self._lone(w)) is not None:
+                known[w] = ids
+            elif mark in w:
                 known[w] = self._ids(w.decode("utf-8")).tobytes()
+            else:
+                plain.append(w)
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
             ids = self._ids(b" | ".join(part).decode("utf-8"))
@@ -73,24 +93,45 @@ class WordTokenizer:
                 known[tail] = self._ids(tail.decode()).tobytes()
             known[w] = known[stem] + known[tail]
 
+    def _know(self, words: set[bytes]) -> None:
+        """Recalls words from the older half of the memory or learns them."""
+        if len(self.known) + len(words) > self.memory // 2:
+            self.older, self.known = self.known, {}
+        older, known = self.older, self.known
+        recalled = [w for w in words if w in older]
+        known.update(zip(recalled, map(older.__getitem__, recalled), strict=True))
+        self._learn(words.difference(recalled))
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text. ``bytes.split`` and ``bytes.lower`` know ASCII only; the tokenizer lower-cases
         all else, save in its special tokens, so texts that may hold one stay as they are."""
         raw = [(t or "").encode("utf-8") for t in texts]
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        gaps, new = [], set()
+        for words, ids in zip(split, found, strict=True):
+            at = []
+            k = ids.index(None) if None in ids else -1
+            while k >= 0:
+                at.append(k)
+                new.add(words[k])
+                try:
+                    k = ids.index(None, k + 1)
+                except ValueError:
+                    k = -1
+            gaps.append(at)
+        self._know(new)
+        for words, ids, at in zip(split, found, gaps, strict=True):
+            for k in at:
+                ids[k] = self.known[words[k]]
+            yield np.frombuffer(b"".join(ids), dtype="<u4")
 
 
 @functools.cache
-def tokenizer_of(path: str) -> WordTokenizer:
+def tokenizer_of(path: str, memory: int) -> WordTokenizer:
     """One for a Python worker, so that later tasks start with its memory."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, memory)
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -98,12 +139,12 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
     return [(i, min(size, n - i)) for i in range(0, n, size)]
 
 
-def tokenized_pieces(docs: DataFrame, path: str, size: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, size: int, end_id: int, with_ids: bool = False, memory: int = WORDS) -> DataFrame:
     """The pieces of all documents in one pass over the texts; with their ids on request."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
+        tokenizer = tokenizer_of(path, memory)
         end = np.array([end_id], dtype="<u4")
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
@@ -187,9 +228,9 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, with_ids: bool = False, memory: int = WORDS) -> DataFrame:
     """Tokenises and packs whole documents; every id lies in exactly one piece."""
-    pieces = materialize(tokenized_pieces(docs, path, size, end_id, with_ids), "pieces")
+    pieces = materialize(tokenized_pieces(docs, path, size, end_id, with_ids, memory), "pieces")
     return pack(pieces, size).drop("piece_hash")
 
 
