@@ -63,10 +63,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens.
+
+    Workers also hold what earlier stages left, so they remember fewer words than for packing alone.
+    """
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=250_000)
 
 
 STAGES = [
