@@ -313,13 +313,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             near = [jaccard(a, b) >= similarity for a, b in zip(_sets(batch.column("shingles")), _sets(batch.column("hub")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component_id"), pa.array(near, pa.bool_())], ["doc_id", "component_id", "near"])
 
-    hubs = suspects.where("doc_id = component_id").groupBy("component_id").agg(F.first("shingles").alias("hub"))
+    # written tables, so that Spark may split the tasks of a component that holds many documents
+    hubs = materialize(suspects.where("doc_id = component_id").groupBy("component_id").agg(F.first("shingles").alias("hub")), "hubs")
     tried = materialize(suspects.join(hubs, "component_id").mapInArrow(compare, "doc_id long, component_id long, near boolean"), "tried")
     left = tried.where("NOT near").select("doc_id", F.lit(True).alias("left")).distinct()
     split = suspects.join(left, "doc_id", "left").withColumn("left", F.coalesce("left", F.lit(False)))
     sides = split.groupBy("component_id").agg(F.count("*").alias("n"), F.count_if("left").alias("u")).where("u > 0")
     block = 1_024
-    sides = sides.select("component_id", F.ceil(F.col("n") / block).cast("int").alias("sn"), F.ceil(F.col("u") / block).cast("int").alias("su"))
+    sides = materialize(sides.select("component_id", F.ceil(F.col("n") / block).cast("int").alias("sn"), F.ceil(F.col("u") / block).cast("int").alias("su")), "sides")
     sided = split.join(sides, "component_id")
     deal = F.xxhash64("doc_id", F.lit(3))
     as_all = sided.select("component_id", "doc_id", "fp", "shingles", F.lit(False).alias("asks"), F.pmod(deal, "sn").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("su") - 1)).alias("y"))
