@@ -143,8 +143,8 @@ def test_shortest_pack_first():
         for length in pattern:
             placed[length] += n
     assert placed == histogram
-    used = sum(n for _, n in patterns) * 512
-    assert 1 - sum(k * v for k, v in histogram.items()) / used < 0.05
+    fills = sorted(sum(pattern) for pattern, n in patterns for _ in range(min(n, 2)))
+    assert fills[0] + fills[1] > 512  # no two packs would fit in one
 
 
 def test_packing_empty(no_docs):
