@@ -182,12 +182,14 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tupl
                 else:
                     room[top][pattern] = count - moved
                 pattern, rest = (*pattern, length), top - length
-            else:
-                moved, pattern, rest = left, (length,), size - length
+                left -= moved
+            else:  # a new pack has most room until it is full of this length
+                each = min(size // length, left)
+                moved, pattern, rest = left // each, (length,) * each, size - length * each
+                left -= moved * each
             kind = room.setdefault(rest, {})
             kind[pattern] = kind.get(pattern, 0) + moved
             top = max(top, rest)
-            left -= moved
     return sorted((p, n) for kind in room.values() for p, n in kind.items())
 
 
