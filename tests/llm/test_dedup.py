@@ -176,3 +176,22 @@ def test_near_duplicates_equal_brute_force(spark):
     near = [(j, k) for j in range(len(sets)) for k in range(j) if len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= 0.8]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, given)).collect()}
     assert got == groups_of(near)
+
+
+def test_near_duplicates_find_block_edits(spark):
+    rng = np.random.default_rng(5)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    passage = new(60)
+    texts = []
+    for _ in range(30):  # truncated, extended and block-replaced copies at 0.8 or a little above
+        base = new(304)
+        texts += [base, base[:244], [*base, *new(75)], [*base[:271], *new(33)], [*base[:120], *new(24), *base[150:]]]
+    for _ in range(10):  # a common passage alone is no link
+        texts.append([*passage, *new(int(rng.integers(10, 60)))])
+    given = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [(j, k) for j in range(len(sets)) for k in range(j) if len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= 0.8]
+    assert len(near) >= 120
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, given)).collect()}
+    assert got == groups_of(near)

@@ -283,15 +283,131 @@ def _sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype=np.uint64) for x in column]
 
 
+def least_overlap(size: np.ndarray | int, share: float) -> np.ndarray:
+    """The least whole number of common shingles that reaches ``share`` of ``size``."""
+    return np.ceil(np.asarray(size) * (share * (1 - 1e-9))).astype(np.int64)
+
+
+def prefix_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float, sample: int = 20_000) -> DataFrame:
+    """Verified links (a, b), a written table: all pairs at Jaccard >= ``similarity`` that ``groups`` (doc_id, component_id) keeps apart.
+
+    Exact by prefix filtering: with all shingles in one order, two such sets share one among the
+    first |x| - ceil(similarity |x|) + 1 of the larger and the first |y| - ceil(2 similarity /
+    (1 + similarity) |y|) + 1 of the smaller, and at the first shared one enough is left behind
+    it. The order is by the count in a sample of documents, then by hash, so that common
+    passages come last; any order gives the same links. Pairs inside a group are never formed.
+    """
+    both = 2 * similarity / (1 + similarity)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(text.as_py()), words)).view(np.int64))], ["h"])
+
+    every = max(1, texts.count() // sample)
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(spread, "h long")
+    common = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).toArrow()
+    known = common.column("h").to_numpy().view(np.uint64)
+    rank = np.argsort(known)
+    known, times = known[rank], common.column("n").to_numpy()[rank]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = np.zeros(batch.num_rows, dtype=np.int64), []
+            for i, text in enumerate(batch.column("text")):
+                h = np.unique(shingle_hashes(words_of(text.as_py()), words))
+                sizes[i] = len(h)
+                if len(h) and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
+                out.append(h[: len(h) - int(least_overlap(len(h), similarity)) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(out, pa.binary())], ["doc_id", "size", "head"])
+
+    headed = materialize(texts.mapInArrow(heads, "doc_id long, size long, head binary").where("size > 0"), "heads")
+    total = headed.agg(F.sum(F.octet_length("head"))).first()[0] or 0
+    cells = max(1, total // 8 // 100_000)
+    labelled = headed.join(groups, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("part"), "size", "head")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = _sets(some.column("head"))
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                h = np.concatenate(sets)
+                doc, part, size = (np.repeat(some.column(c).to_numpy(), n) for c in ("doc_id", "part", "size"))
+                place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                columns = [pa.array((h % np.uint64(cells)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(part), pa.array(size), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "h", "doc_id", "part", "size", "place"])
+
+    def pair(table: pa.Table) -> pa.Table:
+        h, doc, part, size, place = (table.column(c).to_numpy() for c in ("h", "doc_id", "part", "size", "place"))
+        order = np.lexsort((part, h))
+        h, part = h[order], part[order]
+        new = np.append(True, h[1:] != h[:-1])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(h))
+        group = np.cumsum(new) - 1
+        mixed = (part[start] != part[end - 1])[group]  # elsewhere all is in one group already
+        keep = order[mixed]
+        h, doc, part, size, place = (table.column(c).to_numpy()[keep] for c in ("h", "doc_id", "part", "size", "place"))
+        none = np.zeros(0, dtype=np.int64)
+        found = [np.stack([none, none])]
+        if len(keep):
+            base = np.flatnonzero(place <= size - least_overlap(size, both))
+            group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+            own = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) - 1
+            low, high = np.searchsorted(group[base], group), np.searchsorted(group[base], group, side="right")
+            from_, to = np.searchsorted(own[base], own), np.searchsorted(own[base], own, side="right")
+            asks, first = np.concatenate([np.arange(len(h))] * 2), np.concatenate([low, to])
+            many = np.concatenate([from_ - low, high - to])
+            ends, at = np.cumsum(many), 0
+            while at < len(many):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
+                n = many[at:stop]
+                x = np.repeat(asks[at:stop], n)
+                y = base[np.repeat(first[at:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)]
+                fits = ((size[y] < size[x]) | ((size[y] == size[x]) & (doc[y] < doc[x]))) & (size[y] >= least_overlap(size[x], similarity))
+                x, y = x[fits], y[fits]
+                enough = np.minimum(size[x] - place[x], size[y] - place[y]) >= least_overlap(size[x] + size[y], both / 2)
+                a, b = doc[x[enough]], doc[y[enough]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+                at = stop
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    dealt = labelled.mapInArrow(deal, "cell long, h long, doc_id long, part long, size long, place int")
+    pairs = materialize(dealt.groupBy("cell").applyInArrow(pair, "a long, b long").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t.as_py()), words)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    sets = materialize(texts.join(ids, "doc_id").select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary"), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(x, y) >= similarity for x, y in zip(_sets(batch.column("x")), _sets(batch.column("y")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    side = lambda id_, name: sets.select(F.col("doc_id").alias(id_), F.col("shingles").alias(name))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return materialize(met.mapInArrow(compare, "a long, b long"), "prefix_links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
     """(doc_id, component_id): documents linked at Jaccard >= ``similarity`` on ``words``-word shingles.
 
-    Candidates are components of fingerprints over the set of words: at similarity 0.8 on
-    five-word shingles they differ in 3 bits at the median and in 8 or fewer for over 99 %,
-    where fingerprints of the shingles themselves differ in up to 17 and would need a radius
-    that filters little. Every reported link is verified on the exact five-word shingles:
-    first each document against its component's first one, which settles groups made from one
-    original in linear work; then what that leaves over against the whole component, in blocks.
+    A first pass takes components of fingerprints over the set of words as candidates: copies
+    with scattered edits differ in few bits, and each document is compared with its component's
+    first one, which settles groups made from one original in linear work, then what that leaves
+    over with the whole component, in blocks. Block edits (truncated, extended, replaced tails)
+    differ in more bits than ``radius``, so :func:`prefix_links` then finds every pair at
+    ``similarity`` that is not yet in one group: the result does not depend on ``radius``. Every
+    link is verified on the exact shingles.
     Only documents with a non-null doc_id and at least one link are returned.
     """
     prints = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), 1, distinct=True), "prints")
@@ -345,4 +461,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
 
     met = as_all.union(as_left).groupBy("component_id", "x", "y").applyInArrow(meet, "a long, b long")
     links = tried.where("near").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(met)
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    groups = materialize(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "groups")
+    more = prefix_links(docs, groups, words, similarity)
+    if more.isEmpty():
+        return groups
+    all_links = more.union(groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"))
+    return connected_components(all_links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
