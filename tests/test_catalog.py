@@ -37,3 +37,8 @@ def test_single_track_filter_reaches_the_scan(spark, sf_dir, tmp_path):
     plan = sampling.sample(samples, sampling.seek(sampling.time_grid(clips, 3)).select("clip_id", "request_id", "key0", "key1", "alpha"))._jdf.queryExecution().toString()
     assert "EqualTo(track_index,3)" in plan
     assert plan.count("CartesianProduct") == 0
+
+
+def test_nearest_keys_of_all_tracks(spark, sf_dir):
+    rows = catalog.QUERIES["nearest_key_all_tracks"](spark, sf_dir).groupBy("clip_id").agg({"track_index": "max"}).collect()
+    assert rows and all(r[1] == 63 for r in rows)

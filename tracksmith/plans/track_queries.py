@@ -149,6 +149,13 @@ def nearest_key(spark, sf_dir):
     return keyed.join(few, ["clip_id", "sample_index"]).select("clip_id", "request_id", "track_index", "v")
 
 
+@add("nearest_key_all_tracks", ORACLE_SQL["nearest_key"].replace(" WHERE t.track_index < 4", ""))
+def nearest_key_all(spark, sf_dir):
+    grid = sampling.time_grid(clips_of(spark, sf_dir), GRID)
+    keyed = grid.withColumn("sample_index", tl.nearest_key(F.col("num_samples"), F.col("sample_rate"), F.col("time")))
+    return keyed.join(views.embedding_tracks(spark, sf_dir), ["clip_id", "sample_index"]).select("clip_id", "request_id", "track_index", "v")
+
+
 _KEPT = "(k = s0 OR k = s0 + sz - 1 OR (k - s0) % 3 <> 1)"
 _SEGS = """seg AS (SELECT clip_id, n, CASE WHEN n <= 31 THEN 1 WHEN n = 32 THEN 2 ELSE CAST(ceil(n / 16.0) AS INT) - 1 END AS ks FROM clips),
   segs AS (SELECT clip_id, n, CAST(i AS INT) AS sg, CAST(n // ks + (CASE WHEN i < n % ks THEN 1 ELSE 0 END) AS INT) AS sz,
