@@ -176,13 +176,26 @@ _SEGS = """seg AS (SELECT clip_id, n, CASE WHEN n <= 31 THEN 1 WHEN n = 32 THEN
       JOIN t1 y ON y.clip_id = w.clip_id AND y.sample_index = w.k1 AND y.track_index = x.track_index WHERE x.track_index < 8""",
 )
 def sample_missing(spark, sf_dir):
-    tracks, clips = views.embedding_tracks(spark, sf_dir), clips_of(spark, sf_dir)
+    return _missing(spark, sf_dir, views.embedding_tracks(spark, sf_dir).where("track_index < 8"))
+
+
+# all tracks, with segments and frames from each clip's own length
+_WHOLE_MISSING = ORACLE_SQL["sample_with_missing_frames"].replace(" WHERE x.track_index < 8", "").replace("range(64) r(i) WHERE i < ks", "unnest(range(ks)) r(i)").replace("range(4096) r(k) WHERE k >= s0 AND k < s0 + sz", "unnest(range(s0, s0 + sz)) r(k)")
+
+
+@add("sample_with_missing_frames_all_tracks", _WHOLE_MISSING)
+def sample_missing_all(spark, sf_dir):
+    return _missing(spark, sf_dir, views.embedding_tracks(spark, sf_dir))
+
+
+def _missing(spark, sf_dir, tracks: DataFrame) -> DataFrame:
+    clips = clips_of(spark, sf_dir)
     table = segments.segment_table(clips).withColumn("sample_index", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
     k = F.col("sample_index") - F.col("start")
     table = table.withColumn("kept", (k == 0) | (k == F.col("size") - 1) | (k % 3 != 1))
     sought = sampling.seek(sampling.time_grid(clips, GRID)).select("clip_id", "request_id", "key0", "key1", "alpha")
     moved = sampling.seek_retained(sought, sampling.retained_neighbours(table))
-    return r6(sampling.sample(tracks.where("track_index < 8"), moved), "v")
+    return r6(sampling.sample(tracks, moved), "v")
 
 
 @add(
