@@ -178,3 +178,11 @@ def test_katz_replies_by_shuffle(docs, monkeypatch):
     want = scores()
     monkeypatch.setattr(katz, "BROADCAST_BYTES", 0)
     assert scores() == pytest.approx(want)
+
+
+def test_licence_key_phrases_at_the_edges_of_a_file(spark):
+    texts = ["Apache License Version 2.0", "GNU General Public License, Version 3", "one two three Apache License Version 2.0", "GNU General Public License Version 2 and more words", "License Version 2.0", "permission is hereby granted free of charge"]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan(docs, licenses.inverse_frequencies(docs)).collect()}
+    assert "apache-2.0" in got[0][0] and "gpl-3.0" in got[1][0] and "apache-2.0" in got[2][0] and "gpl-2.0" in got[3][0]
+    assert "apache-2.0" not in got[4][0] and "mit" not in got[5][0]

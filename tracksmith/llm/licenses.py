@@ -130,18 +130,21 @@ def scan(docs: DataFrame, idf: dict[str, float], templates: tuple[Template, ...]
             for t, a in zip(templates, anchors, strict=True)
         ]
     )
-    span = 1 << 40
+    span, shift = 1 << 40, 1_000  # a template may start up to ``shift`` words before the file
 
     def places(words: Column) -> Column:
-        """template * 2^40 + start of every place that a rare word names and the template fits."""
+        """template * 2^40 + shift + start of every place that a rare word names and the key phrase fits."""
         hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(rare), i)))
         named = F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(index, words[i]), lambda p: F.struct(F.floor(p / 1000).cast("long").alias("t"), (i - p % 1000).cast("long").alias("a")))))
-        fits = F.filter(named, lambda c: (c["a"] >= 0) & (c["a"] + F.size(table[c["t"].cast("int")]["words"]) <= F.size(words)))
-        return F.array_distinct(F.transform(fits, lambda c: c["t"] * span + c["a"]))
+        fits = F.filter(named, lambda c: bound(
+            F.struct((c["a"] + table[c["t"].cast("int")]["key_at"]).alias("at"), F.size(table[c["t"].cast("int")]["key"]).alias("n")),
+            lambda k: (k["at"] >= 0) & (k["at"] + k["n"] <= F.size(words)),
+        ))
+        return F.array_distinct(F.transform(fits, lambda c: c["t"] * span + shift + c["a"]))
 
     def verified(words: Column) -> Column:
         def look(code: Column) -> Column:
-            t, a = F.floor(code / span).cast("int"), (code % span).cast("int")
+            t, a = F.floor(code / span).cast("int"), (code % span - shift).cast("int")
             return bound(
                 F.struct(table[t].alias("t"), a.alias("a")),
                 lambda c: F.when(
@@ -151,7 +154,7 @@ def scan(docs: DataFrame, idf: dict[str, float], templates: tuple[Template, ...]
                         c["t"]["label"].alias("label"),
                         c["t"]["base"].alias("base"),
                         c["a"].cast("long").alias("a"),
-                        (F.size(F.filter(F.transform(c["t"]["words"], lambda w, i: words[c["a"] + i] == w), lambda same: same)) / F.size(c["t"]["words"])).alias("cover"),
+                        (F.size(F.filter(F.transform(c["t"]["words"], lambda w, i: F.get(words, c["a"] + i) == w), lambda same: same)) / F.size(c["t"]["words"])).alias("cover"),
                     ),
                 ),
             )
