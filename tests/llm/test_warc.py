@@ -73,3 +73,12 @@ def test_no_pages(spark):
 
 def test_query_equals_sql(spark, sf_dir):
     assert_same(warc.op3_warc(spark, sf_dir), warc.OP3_SQL, sf_dir)
+
+
+@pytest.mark.parametrize("split", [5_000, 40_000, 1 << 25])
+def test_urls_longer_than_64_kb(spark, split):
+    long = "http://h/" + "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(6_000))
+    pages = [(i, long[: 9 + 60_000 * i] if i % 2 else f"http://h/{i}", f"<p>{i}</p>") for i in range(7)]
+    archives = warc.write_archives(frame(spark, pages).coalesce(1), fresh_path(spark, "warc"))
+    got = warc.read_archives(archives, split, with_payload=True).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == pages

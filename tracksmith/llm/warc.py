@@ -32,7 +32,8 @@ from tracksmith.llm.common import fresh_path, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
-HEADER_LIMIT = 1 << 16
+#: Bytes of a member that are inflated first to find its header; a longer header is read on.
+HEADER_STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: High halves of the record ids of pages with and without a page_id.
 NAMED, UNNAMED = 0x5D2B_7C60_41A9_4F3E, 0x5D2B_7C60_41A9_4F3F
@@ -72,7 +73,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, owner: int
 
 def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
     """The fields, names in lower case, and where the block starts; None if this is no WARC record."""
-    end = data.find(CRLF + CRLF, 0, HEADER_LIMIT)
+    end = data.find(CRLF + CRLF)
     if not data.startswith(b"WARC/") or end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
@@ -134,8 +135,14 @@ def starts_record(file, at: int) -> bool:
     head = inflate(file, at, 512, 4096)
     if head is None or not head[0].startswith(b"WARC/"):
         return False
-    head = inflate(file, at, HEADER_LIMIT)
-    return head is not None and parse_header(head[0]) is not None
+    limit = HEADER_STEP
+    while True:
+        head = inflate(file, at, limit)
+        if head is None:
+            return False
+        if CRLF + CRLF in head[0] or len(head[0]) < limit:
+            return parse_header(head[0]) is not None
+        limit *= 4
 
 
 def unbroken(file, at: int, end: int, size: int) -> bool:
