@@ -7,7 +7,8 @@ what the backoff weight hands out, so that for every history the probabilities o
 words and of the one class of unknown words add up to 1 exactly. A text's history starts anew.
 
 Documents are encoded once into chunks of local word numbers, a written table. Words are
-counted in a table partitioned by word hash, bigrams in one partitioned by history; histories
+counted by word hash, bigrams by history in a shuffle that the score pass reads; neither they nor
+the backoff weights are written as a table, so only the documents given are scored. Histories
 so frequent that they would fill a partition are dealt out by their next word as well and
 their sums put together. A chunk sends each distinct bigram once, with the documents it occurs
 in, and gets back one sum per document: neither the vocabulary nor the bigrams are ever held
