@@ -180,3 +180,11 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, folder), name)
         assert empty.count() == 0
+
+
+def test_permutation_never_leaves_its_range(spark):
+    at = spark.range(33).select(mixing.permuted(F.col("id"), F.lit(33).cast("long"), F.lit(1)).alias("x"))
+    assert sorted(r.x for r in at.collect()) == list(range(33))
+    short = spark.range(33).select(mixing.permuted(F.col("id"), F.lit(33).cast("long"), F.lit(1), walk=1).alias("x"))
+    with pytest.raises(Exception, match="has not landed"):
+        short.collect()

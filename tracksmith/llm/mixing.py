@@ -63,11 +63,11 @@ def draw_slots(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(index: Column, n: Column, seed: Column, rounds: int = 3) -> Column:
+def permuted(index: Column, n: Column, seed: Column, rounds: int = 3, walk: int = 64) -> Column:
     """A bijection of 0..n-1: mixing steps that are invertible on the next power of two, walked until below n.
 
-    Walking steps are unrolled; each lands below n with a chance of at least a half, and what
-    is not below n after them continues in :func:`_walk`, which Spark evaluates as an array fold.
+    Spark evaluates the ``walk`` further steps as an array fold; each lands below n with a chance
+    of about a half or more, and an index that is not below n after the last one is an error.
     """
     bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")))).cast("int")
     size = F.pow(F.lit(2.0), bits).cast("long")
@@ -79,7 +79,8 @@ def permuted(index: Column, n: Column, seed: Column, rounds: int = 3) -> Column:
             x = x.bitwiseXOR(F.floor(x / F.pow(F.lit(2.0), F.ceil(bits / 2)).cast("long")).cast("long"))
         return x
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(index), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    landed = lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("an index has not landed below n")).cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), step(index), lambda x, _: F.when(x < n, x).otherwise(step(x)), landed)
 
 
 class Mix:
