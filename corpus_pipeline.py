@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracksmith.llm.common import materialize
-from tracksmith.llm.exact import DigestIndex, deduplicate, digest_column
+from tracksmith.llm.exact import DigestIndex, buckets_for, deduplicate, digest_column
 from tracksmith.llm.mixing import mix_documents
 from tracksmith.llm.packing import TOKENIZER, pack_documents
 from tracksmith.llm.quality import THRESHOLD, quality_model, score_documents
@@ -34,15 +34,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_documents(docs, quality_model(spark, docs, sf_dir), name=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
+def without(docs: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
+    """The rows of ``docs`` that match none of ``gone``, a written table of at most 100 bytes a row.
+
+    ``gone`` is sent to the executors only below 64 MB; beyond that both sides are exchanged.
+    """
+    few = gone.count() <= (64 << 20) // 100
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), match, "left_anti")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each normalised text stays: the longest original, then the smallest doc_id."""
-    index = DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}")
-    decided = materialize(deduplicate(docs, index), "decided")
+    index = DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}", buckets_for(docs.count()))
+    decided = deduplicate(docs, index, "documents")
     index.drop()
-    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    gone = materialize(decided.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct(), "gone")
     digest = spare_name(docs, "digest")
     own = docs.withColumn(digest, digest_column())
-    left = own.join(gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own[digest] == gone["_digest"]), "left_anti")
+    left = without(own, gone, own["doc_id"].eqNullSafe(gone["_id"]) & (own[digest] == gone["_digest"]))
     if not decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         # rows repeated with one doc_id: the longest of each text stays
         order = Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc())
@@ -53,8 +62,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at similarity 0.8 on five-word shingles stays: the smallest doc_id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = materialize(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
+    return without(docs, gone, docs["doc_id"] == gone["_id"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

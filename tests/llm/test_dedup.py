@@ -35,7 +35,7 @@ def groups_of(pairs):
 
 
 def test_exact_groups(spark, docs):
-    got = deduplicate(docs, index(spark)).collect()
+    got = deduplicate(docs, index(spark), "first").collect()
     given = rows()
     assert len(got) == len(given)
     by_digest = {}
@@ -50,8 +50,8 @@ def test_exact_groups(spark, docs):
 
 def test_exact_second_batch_meets_the_index(spark, docs):
     ix = index(spark)
-    deduplicate(docs, ix).count()
-    again = deduplicate(documents(spark, [(900, rows()[3][1], "en", "s0"), (901, "quite new", "en", "s0")]), ix)
+    deduplicate(docs, ix, "first").count()
+    again = deduplicate(documents(spark, [(900, rows()[3][1], "en", "s0"), (901, "quite new", "en", "s0")]), ix, "second")
     got = {r.doc_id: (r.keep_id, r.kept, r.known) for r in again.collect()}
     assert got[900][1:] == (False, True) and got[901] == (901, True, False)
     assert ix.read().count() == ix.read().select("digest").distinct().count()
@@ -59,13 +59,36 @@ def test_exact_second_batch_meets_the_index(spark, docs):
 
 def test_exact_join_with_the_index_is_a_merge(spark, docs):
     ix = index(spark)
-    deduplicate(docs, ix).count()
-    plan = docs.select(F.sha2("text", 256).alias("digest")).join(ix.read().select("digest").hint("merge"), "digest", "left_anti")
+    deduplicate(docs, ix, "first").count()
+    plan = docs.select(F.unhex(F.sha2("text", 256)).alias("digest")).join(ix.read().select("digest").hint("merge"), "digest", "left_anti")
     assert "SortMergeJoin" in plan._jdf.queryExecution().toString() and "SelectedBucketsCount: 4 out of 4" in plan._jdf.queryExecution().toString()
 
 
+def test_exact_batch_run_again_after_a_failure(spark, docs):
+    ix = index(spark)
+    first = {tuple(r) for r in deduplicate(docs, ix, "first").collect()}
+    size = ix.read().count()
+    assert {tuple(r) for r in deduplicate(docs, ix, "first").collect()} == first and ix.read().count() == size
+    assert any(r[3] for r in first)
+    other = deduplicate(docs, ix, "second").collect()
+    assert all(r.known and not r.kept for r in other)
+
+
+def test_exact_compaction_keeps_the_index(spark, docs):
+    ix = index(spark)
+    deduplicate(docs, ix, "first")
+    deduplicate(documents(spark, [(901, "quite new", "en", "s0")]), ix, "second")
+    bucket = lambda: [f.rpartition("_")[2].split(".")[0] for f in ix.read().inputFiles()]
+    before = {tuple(r) for r in ix.read().collect()}
+    assert len(bucket()) > len(set(bucket()))
+    ix.compact()
+    assert {tuple(r) for r in ix.read().collect()} == before
+    assert len(bucket()) == len(set(bucket()))
+    assert not deduplicate(documents(spark, [(902, "quite new", "en", "s0")]), ix, "third").first().kept
+
+
 def test_exact_empty(spark, no_docs):
-    assert deduplicate(no_docs, index(spark)).count() == 0
+    assert deduplicate(no_docs, index(spark), "first").count() == 0
 
 
 # --- components -------------------------------------------------------------------------------
@@ -195,3 +218,70 @@ def test_near_duplicates_find_block_edits(spark):
     assert len(near) >= 120
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, given)).collect()}
     assert got == groups_of(near)
+
+
+def edited(rng, base, kind, new):
+    """A copy of ``base`` whose Jaccard similarity on five-word shingles is 0.8 or a little above."""
+    n, parts = len(base), {tuple(base[i : i + 5]) for i in range(len(base) - 4)}
+    at, order, fresh = int(rng.integers(0, n)), rng.permutation(n), [new() for _ in range(n)]
+
+    def copy(k):
+        if kind == "scattered":
+            changed = set(order[:k].tolist())
+            return [fresh[i] if i in changed else w for i, w in enumerate(base)]
+        if kind in ("tail", "truncated"):
+            return [*base[: n - k], *fresh[: k * (kind == "tail")]]
+        start = n if kind == "extended" else min(at, n - k)
+        return [*base[:start], *fresh[:k], *base[start + k :]]
+
+    def near(c):
+        other = {tuple(c[i : i + 5]) for i in range(len(c) - 4)}
+        return len(c) >= 5 and len(parts & other) >= 0.8 * len(parts | other)
+
+    low, high = 0, n  # near(copy(low)), not near(copy(high))
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if near(copy(k)) else (low, k)
+    return copy(low)
+
+
+def test_near_duplicates_recall_by_length_and_edit(spark):
+    rng = np.random.default_rng(6)
+    fresh = iter(range(10**7))
+    new = lambda: f"u{next(fresh)}"
+    given, pairs = [], []
+    for kind in ("scattered", "tail", "truncated", "extended", "middle"):
+        for length, count in ((13, 60), (25, 60), (60, 60), (100, 60), (300, 40), (2000, 20)):
+            for _ in range(count):
+                base = [f"c{i}" for i in rng.integers(0, 3000, length)]
+                copy = edited(rng, base, kind, new)
+                if copy != base:
+                    pairs.append((len(given), len(given) + 1))
+                given += [(len(given), " ".join(base), "en", "s"), (len(given) + 1, " ".join(copy), "en", "s")]
+    assert len(pairs) > 1_200
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, given)).collect()}
+    assert all(got.get(b) == a for a, b in pairs)
+
+
+def test_near_duplicates_awkward_rows(spark, docs):
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    sets = {}
+    for i, t, *_ in rows():
+        w = words(t)
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} if w else set()
+    near = [(a, b) for a in sets for b in sets if b < a and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert got == groups_of(near)
+
+
+def test_near_duplicates_with_a_third_in_one_group(spark):
+    """Copies in a chain, each near its neighbour only, and a passage that very many share."""
+    passage = [f"p{i}" for i in range(50)]
+    given = []
+    for i in range(300):
+        text = [f"x{j}" for j in range(i, i + 60)] if i % 3 == 0 else [*passage, *[f"y{i}_{j}" for j in range(12)]]
+        given.append((i, " ".join(text), "en", "s"))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t, *_ in given]
+    near = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, given)).collect()}
+    assert got == groups_of(near) and len(near) > 90

@@ -34,10 +34,18 @@ def test_quality_awkward_rows(spark, docs, no_docs):
 def test_training_never_sees_held_out_rows(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(5, None), (None, 1)], "doc_id long, quality int")
-    texts, y = quality.training_sample(docs, labels)
-    ids = [int(t.split()[1]) for t in texts]
-    assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids) and y == [i % 2 for i in ids]
-    assert len(quality.training_sample(docs, labels, rows=10)[0]) == 10
+    sample = quality.training_sample(docs, labels).collect()
+    ids = [int(r.text.split()[1]) for r in sample]
+    assert ids and all(zlib.crc32(str(i).encode()) % 5 for i in ids) and [r.y for r in sample] == [i % 2 for i in ids]
+    assert quality.training_sample(docs, labels, rows=10).count() == 10
+
+
+def test_fit_in_a_task_is_the_same_training(spark):
+    sample = spark.createDataFrame([(i, f"good {i}" if i % 3 else f"bad {i}", int(i % 3 > 0)) for i in range(60)], "id long, text string, y int")
+    logit, bias = quality.fit(sample.repartition(3))
+    want, also = quality.train([f"good {i}" if i % 3 else f"bad {i}" for i in range(60)], [int(i % 3 > 0) for i in range(60)])
+    assert bias == also and (logit == want).all()
+    assert quality.fit(sample.where("id < 0"))[1] == 0.0
 
 
 def test_features():

@@ -15,12 +15,14 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is set once for the session.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on one
+    machine, as in tests, a temporary folder is set once for the session.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracksmith-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

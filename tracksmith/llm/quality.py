@@ -2,8 +2,8 @@
 
 Words, word pairs and character n-grams are hashed to buckets; each bucket has a learned
 vector, a text is the mean of its buckets' vectors, and a softmax over a linear layer gives the
-label. Training is plain stochastic gradient descent in numpy on the driver, on a bounded
-sample of labelled rows. As the output is linear in the mean, a trained model is one number a
+label. Training is plain stochastic gradient descent in numpy in one task, on a bounded
+sample of labelled rows; the driver only gets the finished model, one number a bucket. As the output is linear in the mean, a trained model is one number a
 bucket: scoring is a table look-up per n-gram of the whole text, without a shuffle.
 
 Defined cases: a null or empty text has no n-grams and scores the class prior; a row with a
@@ -102,8 +102,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 12, rate: fl
     return logit[:, 1] - logit[:, 0], float(bias[1] - bias[0])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list, list]:
-    """At most ``rows`` labelled texts of the learning folds, picked by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, text, y): at most ``rows`` labelled texts of the learning folds, picked by a hash of the id."""
     picked = (
         labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod("doc_id", 5) != 0)
         .groupBy("doc_id").agg(F.avg("quality").alias("_q"))
@@ -112,8 +112,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     picked = picked.select(F.col("doc_id").alias("_id"), (F.col("_q") >= 0.5).cast("int").alias("_y"))
     docs = docs.select("doc_id", "text")
     found = docs.join(F.broadcast(picked), docs.doc_id == picked._id).where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
-    found = found.groupBy("_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y")).orderBy("_id").collect()
-    return [r["text"] for r in found], [r["_y"] for r in found]
+    return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("_y").alias("y")).withColumnRenamed("_id", "id")
+
+
+def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """Trains on ``sample`` (id, text, y) in one task, in the order of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("y").to_pylist()
+        logit, bias = train(texts, labels)
+        yield pa.RecordBatch.from_arrays([pa.array([logit.tobytes()]), pa.array([bias])], ["logit", "bias"])
+
+    model = sample.repartition(1).sortWithinPartitions("id").mapInArrow(run, "logit binary, bias double").first()
+    return (np.frombuffer(model["logit"]), model["bias"]) if model else train([], [])
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
@@ -135,7 +149,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text: str
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[np.ndarray, float]:
-    return train(*training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return fit(training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm.common import materialize, words_of
+from tracksmith.llm.common import discard, materialize, words_of
 from tracksmith.llm.components import connected_components, spanning_forest
 
 BITS, ATOM, SEED = 64, 8, 42
@@ -228,6 +228,8 @@ def hamming_links(fps: DataFrame, radius: int) -> DataFrame:
     ``fps`` (fp) is a written table of distinct values.
     """
     n = fps.count()
+    if n < 2:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
     plan = pigeonhole_plan(fps, n, radius)
     rows = fps.select("fp").repartition(max(1, min(1024, n // 20_000 + 1))).mapInArrow(_probe_rows(plan), "part int, key long, base boolean, fp long")
     sides = rows.groupBy("part", "key").agg(F.count_if("base").alias("nb"), F.count_if(~F.col("base")).alias("nq"))
@@ -270,6 +272,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- verified near-duplicates -----------------------------------------------------------------
 
+#: Shingles of one block of documents that are counted together, the count in a block from which one may be frequent, and the longest list of them.
+COUNT_BLOCK, OFTEN, LISTED = 4_000_000, 4, 100_000
+
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets; two empty sets are equal."""
@@ -279,8 +284,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype=np.uint64) for x in column]
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), n))
 
 
 def least_overlap(size: np.ndarray | int, share: float) -> np.ndarray:
@@ -288,182 +293,169 @@ def least_overlap(size: np.ndarray | int, share: float) -> np.ndarray:
     return np.ceil(np.asarray(size) * (share * (1 - 1e-9))).astype(np.int64)
 
 
-def prefix_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float, sample: int = 20_000) -> DataFrame:
-    """Verified links (a, b), a written table: all pairs at Jaccard >= ``similarity`` that ``groups`` (doc_id, component_id) keeps apart.
+def prints_and_counts(texts: DataFrame, words: int) -> DataFrame:
+    """One pass over all texts: rows (doc_id, fp) with the fingerprint over the set of words, and
+    rows (h, n), doc_id null, of shingles that ``n`` documents of one block share."""
 
-    Exact by prefix filtering: with all shingles in one order, two such sets share one among the
-    first |x| - ceil(similarity |x|) + 1 of the larger and the first |y| - ceil(2 similarity /
-    (1 + similarity) |y|) + 1 of the smaller, and at the first shared one enough is left behind
-    it. The order is by the count in a sample of documents, then by hash, so that common
-    passages come last; any order gives the same links. Pairs inside a group are never formed.
-    """
-    both = 2 * similarity / (1 + similarity)
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [], 0
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(words_of(text.as_py()), words)).view(np.int64))], ["h"])
+        def often() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(block), return_counts=True)
+            h, n = h[n >= OFTEN].view(np.int64), n[n >= OFTEN]
+            none = pa.nulls(len(h), pa.int64())
+            block.clear()
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(n)], ["doc_id", "fp", "h", "n"])
 
-    every = max(1, texts.count() // sample)
-    sampled = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(spread, "h long")
-    common = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(100_000).toArrow()
-    known = common.column("h").to_numpy().view(np.uint64)
+        for batch in batches:
+            out = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, text in enumerate(batch.column(1)):
+                found = words_of(text.as_py())
+                out[i] = fingerprint(np.unique(shingle_hashes(list(set(found)), 1)))
+                block.append(np.unique(shingle_hashes(found, words)))
+                held += len(block[-1])
+                if held >= COUNT_BLOCK:
+                    yield often()
+                    held = 0
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), none, none], ["doc_id", "fp", "h", "n"])
+        if block:
+            yield often()
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, h long, n long")
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float, frequent: pa.Table) -> DataFrame:
+    """(doc_id, size, head): the first |x| - ceil(similarity |x|) + 1 shingles in the common order, as bytes.
+
+    Shingles of ``frequent`` (h, n) come last, by n; the others by hash. Texts without words have
+    the one entry 0, so that they meet each other.
+    """
+    known = frequent.column("h").to_numpy().view(np.uint64)
     rank = np.argsort(known)
-    known, times = known[rank], common.column("n").to_numpy()[rank]
+    known, times = known[rank], frequent.column("n").to_numpy()[rank]
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, out = np.zeros(batch.num_rows, dtype=np.int64), []
             for i, text in enumerate(batch.column("text")):
-                h = np.unique(shingle_hashes(words_of(text.as_py()), words))
+                h = shingle_set(text.as_py(), words)
                 sizes[i] = len(h)
                 if len(h) and len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
-                out.append(h[: len(h) - int(least_overlap(len(h), similarity)) + 1].tobytes())
+                head = h[: len(h) - int(least_overlap(len(h), similarity)) + 1] if len(h) else np.zeros(1, dtype=np.uint64)
+                out.append(head.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(out, pa.binary())], ["doc_id", "size", "head"])
 
-    headed = materialize(texts.mapInArrow(heads, "doc_id long, size long, head binary").where("size > 0"), "heads")
-    total = headed.agg(F.sum(F.octet_length("head"))).first()[0] or 0
-    cells = max(1, total // 8 // 100_000)
-    labelled = headed.join(groups, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("part"), "size", "head")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, head binary")
+
+
+def shared_prefixes(heads: DataFrame) -> DataFrame:
+    """(h, hub, doc_id, size): the entries of prefixes whose shingle two documents or more have; ``hub`` is the smallest of them.
+
+    Counts are put together before the exchange and the join is one that Spark splits, so that
+    a shingle of very many prefixes is no task of its own.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sets = _sets(some.column("head"))
-                n = np.array([len(x) for x in sets], dtype=np.int64)
-                h = np.concatenate(sets)
-                doc, part, size = (np.repeat(some.column(c).to_numpy(), n) for c in ("doc_id", "part", "size"))
-                place = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-                columns = [pa.array((h % np.uint64(cells)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(part), pa.array(size), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, ["cell", "h", "doc_id", "part", "size", "place"])
-
-    def pair(table: pa.Table) -> pa.Table:
-        h, doc, part, size, place = (table.column(c).to_numpy() for c in ("h", "doc_id", "part", "size", "place"))
-        order = np.lexsort((part, h))
-        h, part = h[order], part[order]
-        new = np.append(True, h[1:] != h[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(h))
-        group = np.cumsum(new) - 1
-        mixed = (part[start] != part[end - 1])[group]  # elsewhere all is in one group already
-        keep = order[mixed]
-        h, doc, part, size, place = (table.column(c).to_numpy()[keep] for c in ("h", "doc_id", "part", "size", "place"))
-        none = np.zeros(0, dtype=np.int64)
-        found = [np.stack([none, none])]
-        if len(keep):
-            base = np.flatnonzero(place <= size - least_overlap(size, both))
-            group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-            own = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) - 1
-            low, high = np.searchsorted(group[base], group), np.searchsorted(group[base], group, side="right")
-            from_, to = np.searchsorted(own[base], own), np.searchsorted(own[base], own, side="right")
-            asks, first = np.concatenate([np.arange(len(h))] * 2), np.concatenate([low, to])
-            many = np.concatenate([from_ - low, high - to])
-            ends, at = np.cumsum(many), 0
-            while at < len(many):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
-                n = many[at:stop]
-                x = np.repeat(asks[at:stop], n)
-                y = base[np.repeat(first[at:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)]
-                fits = ((size[y] < size[x]) | ((size[y] == size[x]) & (doc[y] < doc[x]))) & (size[y] >= least_overlap(size[x], similarity))
-                x, y = x[fits], y[fits]
-                enough = np.minimum(size[x] - place[x], size[y] - place[y]) >= least_overlap(size[x] + size[y], both / 2)
-                a, b = doc[x[enough]], doc[y[enough]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
-                at = stop
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    dealt = labelled.mapInArrow(deal, "cell long, h long, doc_id long, part long, size long, place int")
-    pairs = materialize(dealt.groupBy("cell").applyInArrow(pair, "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+                sets = [np.frombuffer(x.as_py(), dtype=np.int64) for x in some.column("head")]
+                n = [len(x) for x in sets]
+                columns = [pa.array(np.concatenate(sets)), *(pa.array(np.repeat(some.column(c).to_numpy(), n)) for c in ("doc_id", "size"))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "size"])
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), words)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+    entries = heads.mapInArrow(deal, "h long, doc_id long, size long")
+    several = entries.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("h", "hub")
+    return entries.join(several.hint("merge"), "h").select("h", "hub", "doc_id", "size")
 
-    sets = materialize(texts.join(ids, "doc_id").select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary"), "sets")
+
+def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b), a written table, whose texts reach ``similarity``; only texts of pairs are exchanged."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    few = pairs.count() <= 2_000_000  # at most 4 M ids, 32 MB
+    some = texts.join(F.broadcast(ids) if few else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = materialize(some, "suspects")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            near = [jaccard(x, y) >= similarity for x, y in zip(_sets(batch.column("x")), _sets(batch.column("y")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    side = lambda id_, name: sets.select(F.col("doc_id").alias(id_), F.col("shingles").alias(name))
-    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(met.mapInArrow(compare, "a long, b long"), "prefix_links")
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for i, (b, x, y) in enumerate(zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
+                if b != last:
+                    last, held = b, shingle_set(y.as_py(), words)
+                near[i] = jaccard(shingle_set(x.as_py(), words), held) >= similarity
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    side = lambda id_, name: some.select(F.col("doc_id").alias(id_), F.col("text").alias(name))
+    met = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+    found = materialize(met.mapInArrow(compare, "a long, b long"), "similar")
+    discard(some)
+    return found
+
+
+def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each document with the first one of its fingerprint, and the first ones of fingerprints within ``radius`` bits."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    first = lambda fp, name: nodes.select(F.col("fp").alias(fp), F.col("first_id").alias(name))
+    links = materialize(hamming_links(nodes, radius).select(F.col("a").alias("x"), F.col("b").alias("y")), "links")
+    met = links.join(first("x", "a"), "x").join(first("y", "b"), "y").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    same = prints.join(nodes, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    return same.union(met)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
-    """(doc_id, component_id): documents linked at Jaccard >= ``similarity`` on ``words``-word shingles.
+def pairs_apart(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs that may reach ``similarity`` and that ``groups`` (doc_id, component_id) keeps apart.
 
-    A first pass takes components of fingerprints over the set of words as candidates: copies
-    with scattered edits differ in few bits, and each document is compared with its component's
-    first one, which settles groups made from one original in linear work, then what that leaves
-    over with the whole component, in blocks. Block edits (truncated, extended, replaced tails)
-    differ in more bits than ``radius``, so :func:`prefix_links` then finds every pair at
-    ``similarity`` that is not yet in one group: the result does not depend on ``radius``. Every
-    link is verified on the exact shingles.
-    Only documents with a non-null doc_id and at least one link are returned.
+    Two such sets have at least ceil(2 s / (1 + s) (|a| + |b|) / 2) shingles in common; of these at
+    most |x| - prefix(x) of one of both lie behind its prefix, so the others are counted here.
     """
-    prints = materialize(fingerprints(docs.where("doc_id IS NOT NULL"), 1, distinct=True), "prints")
-    found = fingerprint_components(prints, radius)
-    sizes = found.groupBy("component_id").agg(F.count_distinct("doc_id").alias("size")).where("size > 1")
-    members = materialize(found.join(sizes, "component_id").select("doc_id", "component_id", "fp"), "members")
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), words)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["doc_id", "component_id", "fp", "shingles"])
+    parts = shared.join(groups, "doc_id", "left").select("h", "doc_id", "size", F.coalesce("component_id", "doc_id").alias("part"))
+    parts = materialize(parts, "parts")
+    mixed = parts.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
+    apart = materialize(parts.join(mixed.hint("merge"), "h"), "apart")
+    both, exact = 2 * similarity / (1 + similarity), 1 - 1e-9
+    x = apart.select("h", F.col("doc_id").alias("a"), F.col("size").alias("m"), F.col("part").alias("p"))
+    y = apart.select("h", F.col("doc_id").alias("b"), F.col("size").alias("n"), F.col("part").alias("q"))
+    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
+    met = x.join(y.hint("merge"), "h").where(larger & (F.col("p") != F.col("q")) & (F.col("n") >= F.ceil(F.col("m") * (similarity * exact))))
+    behind = lambda size: F.ceil(F.col(size) * (similarity * exact)) - 1
+    least = F.ceil((F.col("m") + F.col("n")) * (both / 2 * exact)) - F.greatest(behind("m"), behind("n"))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
+    return counted.where(F.col("c") >= least).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """(doc_id, component_id): documents linked at Jaccard >= ``similarity`` on ``words``-word shingles.
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    suspects = members.join(texts, "doc_id").select("doc_id", "component_id", "fp", "text")
-    suspects = materialize(suspects.mapInArrow(shingle, "doc_id long, component_id long, fp long, shingles binary"), "suspects")
+    Fingerprints over the set of words propose a first partner for copies with scattered edits.
+    A block edit (a truncated, extended or replaced part) changes more bits than any affordable
+    ``radius``, so every pair that they miss is found exactly by prefix filtering on the shingle
+    sets: first each document with the one it shares most of its prefix with, if a third or
+    more, then all pairs that the components so far keep apart. The result does not depend on ``radius`` or on which
+    shingles count as frequent; every link is verified on the exact shingle sets.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [jaccard(a, b) >= similarity for a, b in zip(_sets(batch.column("shingles")), _sets(batch.column("hub")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component_id"), pa.array(near, pa.bool_())], ["doc_id", "component_id", "near"])
-
-    # written tables, so that Spark may split the tasks of a component that holds many documents
-    hubs = materialize(suspects.where("doc_id = component_id").groupBy("component_id").agg(F.first("shingles").alias("hub")), "hubs")
-    tried = materialize(suspects.join(hubs, "component_id").mapInArrow(compare, "doc_id long, component_id long, near boolean"), "tried")
-    left = tried.where("NOT near").select("doc_id", F.lit(True).alias("left")).distinct()
-    split = suspects.join(left, "doc_id", "left").withColumn("left", F.coalesce("left", F.lit(False)))
-    sides = split.groupBy("component_id").agg(F.count("*").alias("n"), F.count_if("left").alias("u")).where("u > 0")
-    block = 1_024
-    sides = materialize(sides.select("component_id", F.ceil(F.col("n") / block).cast("int").alias("sn"), F.ceil(F.col("u") / block).cast("int").alias("su")), "sides")
-    sided = split.join(sides, "component_id")
-    deal = F.xxhash64("doc_id", F.lit(3))
-    as_all = sided.select("component_id", "doc_id", "fp", "shingles", F.lit(False).alias("asks"), F.pmod(deal, "sn").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("su") - 1)).alias("y"))
-    as_left = sided.where("left").select("component_id", "doc_id", "fp", "shingles", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("sn") - 1)).alias("x"), F.pmod(deal, "su").cast("int").alias("y"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        asks, ids, fps = (table.column(c).to_numpy() for c in ("asks", "doc_id", "fp"))
-        sets = _sets(table.column("shingles"))
-        nodes, node = np.unique(ids, return_inverse=True)
-        label = np.arange(len(nodes))
-        out: list[tuple[int, int]] = []
-        others = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            distance = np.bitwise_count(fps[others].view(np.uint64) ^ fps[i : i + 1].view(np.uint64))
-            close = others[(distance <= radius) & (ids[others] != ids[i])]
-            for j in close[np.argsort(np.bitwise_count(fps[close].view(np.uint64) ^ fps[i : i + 1].view(np.uint64)), kind="stable")]:
-                x, y = label[node[i]], label[node[j]]
-                if x != y and jaccard(sets[i], sets[j]) >= similarity:  # links inside one part add nothing
-                    out.append((int(ids[i]), int(ids[j])))
-                    label[label == max(x, y)] = min(x, y)
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    met = as_all.union(as_left).groupBy("component_id", "x", "y").applyInArrow(meet, "a long, b long")
-    links = tried.where("near").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(met)
+    Rows with a null doc_id are left alone, texts without words form one group, rows repeated
+    with one doc_id are one document with the smallest of its texts; an empty table gives no rows.
+    Only documents with at least one link are returned.
+    """
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    passed = materialize(prints_and_counts(texts, words), "prints")
+    frequent = passed.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    heads = materialize(prefixes(texts, words, similarity, frequent), "heads")
+    shared = materialize(shared_prefixes(heads), "shared")
+    discard(heads)
+    nearest = shared.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+    nearest = nearest.where(F.col("c") >= F.col("size") * ((1 - similarity) / 3)).groupBy("doc_id").agg(F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("hub"))
+    first = print_pairs(passed.where("doc_id IS NOT NULL").select("doc_id", "fp"), radius)
+    first = materialize(first.union(nearest.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).where("a <> b").distinct(), "pairs")
+    links = verified(texts, first, words, similarity)
     groups = materialize(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "groups")
-    more = prefix_links(docs, groups, words, similarity)
+    more = materialize(pairs_apart(shared, groups, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(shared)
     if more.isEmpty():
         return groups
-    all_links = more.union(groups.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"))
-    return connected_components(all_links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    links = verified(texts, more, words, similarity).union(groups.where("doc_id <> component_id").select("doc_id", "component_id"))
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
