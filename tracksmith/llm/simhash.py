@@ -272,8 +272,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- verified near-duplicates -----------------------------------------------------------------
 
-#: Shingles of one block of documents that are counted together, the count in a block from which one may be frequent, and the longest list of them.
-COUNT_BLOCK, OFTEN, LISTED = 4_000_000, 4, 100_000
+#: Shingles of one block of documents that are counted together, the count in a block from which one may be frequent, and the longest list of them (16 MB).
+COUNT_BLOCK, OFTEN, LISTED = 4_000_000, 2, 1_000_000
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -331,11 +331,12 @@ def prefixes(texts: DataFrame, words: int, similarity: float, frequent: pa.Table
     Shingles of ``frequent`` (h, n) come last, by n; the others by hash. Texts without words have
     the one entry 0, so that they meet each other.
     """
-    known = frequent.column("h").to_numpy().view(np.uint64)
-    rank = np.argsort(known)
-    known, times = known[rank], frequent.column("n").to_numpy()[rank]
+    hashes = frequent.column("h").to_numpy().view(np.uint64)
+    rank = np.argsort(hashes)
+    listed = texts.sparkSession.sparkContext.broadcast((hashes[rank], frequent.column("n").to_numpy()[rank]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = listed.value
         for batch in batches:
             sizes, out = np.zeros(batch.num_rows, dtype=np.int64), []
             for i, text in enumerate(batch.column("text")):
@@ -352,7 +353,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, frequent: pa.Table
 
 
 def shared_prefixes(heads: DataFrame) -> DataFrame:
-    """(h, hub, doc_id, size): the entries of prefixes whose shingle two documents or more have; ``hub`` is the smallest of them.
+    """(h, doc_id, size, place): the entries of prefixes whose shingle two documents or more have there.
 
     Counts are put together before the exchange and the join is one that Spark splits, so that
     a shingle of very many prefixes is no task of its own.
@@ -363,13 +364,27 @@ def shared_prefixes(heads: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 sets = [np.frombuffer(x.as_py(), dtype=np.int64) for x in some.column("head")]
-                n = [len(x) for x in sets]
-                columns = [pa.array(np.concatenate(sets)), *(pa.array(np.repeat(some.column(c).to_numpy(), n)) for c in ("doc_id", "size"))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "size"])
+                n = np.array([len(x) for x in sets])
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                columns = [pa.array(np.concatenate(sets)), *(pa.array(np.repeat(some.column(c).to_numpy(), n)) for c in ("doc_id", "size")), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "size", "place"])
 
-    entries = heads.mapInArrow(deal, "h long, doc_id long, size long")
-    several = entries.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("h", "hub")
-    return entries.join(several.hint("merge"), "h").select("h", "hub", "doc_id", "size")
+    entries = heads.mapInArrow(deal, "h long, doc_id long, size long, place long")
+    several = entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
+    return entries.join(several.hint("merge"), "h").select("h", "doc_id", "size", "place")
+
+
+def nearest_hubs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each document with the one that stands for most of its shared prefix, if for a third of the prefix or more.
+
+    The document of a shingle whose prefix is shared most stands for it: the least edited one of
+    a group of copies, which is near most of the others.
+    """
+    own = shared.groupBy("doc_id").agg((F.count("*") / (F.first("size") + 1)).alias("share"))
+    hubs = shared.select("h", "doc_id").join(own.hint("merge"), "doc_id").groupBy("h").agg(F.max_by("doc_id", F.struct("share", -F.col("doc_id"))).alias("hub"))
+    met = shared.join(hubs.hint("merge"), "h").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+    met = met.where(F.col("c") >= F.col("size") * ((1 - similarity) / 3))
+    return met.groupBy("doc_id").agg(F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("b")).select(F.col("doc_id").alias("a"), "b")
 
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -409,22 +424,21 @@ def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
 def pairs_apart(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs that may reach ``similarity`` and that ``groups`` (doc_id, component_id) keeps apart.
 
-    Two such sets have at least ceil(2 s / (1 + s) (|a| + |b|) / 2) shingles in common; of these at
-    most |x| - prefix(x) of one of both lie behind its prefix, so the others are counted here.
+    Two such sets have at least ceil(2 s / (1 + s) (|a| + |b|) / 2) shingles in common; at the first
+    of them in the common order that many must still be left in both. Shingles that one document
+    alone has come before frequent ones, so an edited copy gets no partners by what all copies share.
     """
-    parts = shared.join(groups, "doc_id", "left").select("h", "doc_id", "size", F.coalesce("component_id", "doc_id").alias("part"))
+    parts = shared.join(groups, "doc_id", "left").select("h", "doc_id", "size", "place", F.coalesce("component_id", "doc_id").alias("part"))
     parts = materialize(parts, "parts")
     mixed = parts.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
     apart = materialize(parts.join(mixed.hint("merge"), "h"), "apart")
-    both, exact = 2 * similarity / (1 + similarity), 1 - 1e-9
-    x = apart.select("h", F.col("doc_id").alias("a"), F.col("size").alias("m"), F.col("part").alias("p"))
-    y = apart.select("h", F.col("doc_id").alias("b"), F.col("size").alias("n"), F.col("part").alias("q"))
+    exact = 1 - 1e-9
+    x = apart.select("h", F.col("doc_id").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("part").alias("p"))
+    y = apart.select("h", F.col("doc_id").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"), F.col("part").alias("q"))
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") > F.col("b")))
-    met = x.join(y.hint("merge"), "h").where(larger & (F.col("p") != F.col("q")) & (F.col("n") >= F.ceil(F.col("m") * (similarity * exact))))
-    behind = lambda size: F.ceil(F.col(size) * (similarity * exact)) - 1
-    least = F.ceil((F.col("m") + F.col("n")) * (both / 2 * exact)) - F.greatest(behind("m"), behind("n"))
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return counted.where(F.col("c") >= least).select("a", "b")
+    enough = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= F.ceil((F.col("m") + F.col("n")) * (similarity / (1 + similarity) * exact))
+    size = F.col("n") >= F.ceil(F.col("m") * (similarity * exact))
+    return x.join(y.hint("merge"), "h").where(larger & (F.col("p") != F.col("q")) & size & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
@@ -447,10 +461,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     heads = materialize(prefixes(texts, words, similarity, frequent), "heads")
     shared = materialize(shared_prefixes(heads), "shared")
     discard(heads)
-    nearest = shared.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("c"), F.first("size").alias("size"))
-    nearest = nearest.where(F.col("c") >= F.col("size") * ((1 - similarity) / 3)).groupBy("doc_id").agg(F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("hub"))
-    first = print_pairs(passed.where("doc_id IS NOT NULL").select("doc_id", "fp"), radius)
-    first = materialize(first.union(nearest.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))).where("a <> b").distinct(), "pairs")
+    first = print_pairs(passed.where("doc_id IS NOT NULL").select("doc_id", "fp"), radius).union(nearest_hubs(shared, similarity))
+    first = materialize(first.where("a <> b").distinct(), "pairs")
     links = verified(texts, first, words, similarity)
     groups = materialize(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "groups")
     more = materialize(pairs_apart(shared, groups, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
