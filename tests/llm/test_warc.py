@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 from compare import assert_same
@@ -82,3 +83,32 @@ def test_urls_longer_than_64_kb(spark, split):
     archives = warc.write_archives(frame(spark, pages).coalesce(1), fresh_path(spark, "warc"))
     got = warc.read_archives(archives, split, with_payload=True).collect()
     assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == pages
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        raw = super().read(n)
+        self.got += len(raw)
+        return raw
+
+
+def test_a_range_is_read_once():
+    rng = random.Random(3)
+    data = b"".join(warc.make_record(i, f"http://h/{i}", rng.randbytes(1_800), None, False, "2024-01-01T00:00:00Z") for i in range(3_000))
+    half = len(data) // 2
+    found = []
+    for begin, end in ((0, half), (half, len(data))):
+        file = Counted(data)
+        found += list(warc.records_between(file, begin, end, len(data)))
+        assert file.got < 1.2 * (end - begin)
+    assert [warc.page_of(warc.parse_header(r)[0]["warc-record-id"]) for r in found] == list(range(3_000))
+
+
+def test_archives_stay_small(spark):
+    pages = [(i, "http://h/", hashlib.sha256(str(i).encode()).hexdigest() * 20) for i in range(50)]
+    archives = warc.write_archives(frame(spark, pages).coalesce(1), fresh_path(spark, "warc"), archive_bytes=3_000)
+    sizes = [r.bytes for r in archives.collect()]
+    assert len(sizes) > 5 and max(sizes) < 4_000
+    assert sorted(r.page_id for r in warc.read_archives(archives, 700).collect()) == list(range(50))

@@ -1,9 +1,9 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
 The reader cuts archives into byte ranges. A task scans its range for the gzip magic, accepts
-a candidate once the member decodes to a WARC header and the members after it form an unbroken
-chain to the end of the range, and owns the records that start inside. No index is needed and
-a 1 GB archive is read by as many tasks as it has ranges.
+a candidate once the member decodes to a WARC header and the members after it form a chain,
+and owns the records that start inside. It reads its range once, from front to back. No index
+is needed and a 1 GB archive is read by as many tasks as it has ranges.
 
 Archives lie in the shared folder and are opened through pyarrow's file systems, so any store
 that pyarrow knows will do. A writing task writes under a name of its own and renames at the
@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm.common import fresh_path, materialize
+from tracksmith.llm.common import delete_path, discard, fresh_path, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
-#: Bytes of a member that are inflated first to find its header; a longer header is read on.
-HEADER_STEP = 1 << 16
+#: Bytes read at once, and records that must follow a candidate at the start of a range.
+STEP, CHAIN = 1 << 16, 16
+#: An archive is closed once it has grown this far.
+ARCHIVE_BYTES = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: High halves of the record ids of pages with and without a page_id.
 NAMED, UNNAMED = 0x5D2B_7C60_41A9_4F3E, 0x5D2B_7C60_41A9_4F3F
@@ -71,7 +73,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, owner: int
     return pack.compress(b"WARC/1.1\r\n" + head + CRLF + block + CRLF + CRLF) + pack.flush()
 
 
-def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
+def parse_header(data: bytes | bytearray) -> tuple[dict[str, str], int] | None:
     """The fields, names in lower case, and where the block starts; None if this is no WARC record."""
     end = data.find(CRLF + CRLF)
     if not data.startswith(b"WARC/") or end < 0:
@@ -107,92 +109,107 @@ def parse_record(data: bytes) -> dict:
 # --- splittable reading -----------------------------------------------------------------------
 
 
-def inflate(file, at: int, limit: int | None = None, step: int = 1 << 17) -> tuple[bytes, int] | None:
-    """The member that starts at ``at`` and where it ends; with ``limit`` its first bytes only. None if it is none."""
-    unpack, out, got = zlib.decompressobj(31), [], 0
-    file.seek(at)
-    while True:
-        raw = file.read(step)
-        if not raw:
-            return None
-        at += len(raw)
-        try:
-            data = unpack.decompress(raw) if limit is None else unpack.decompress(raw, limit - got)
-        except zlib.error:
-            return None
-        out.append(data)
-        got += len(data)
-        if unpack.eof:
-            return b"".join(out), at - len(unpack.unused_data)
-        if limit is not None and (got >= limit or unpack.unconsumed_tail):
-            return b"".join(out), at
-
-
-def starts_record(file, at: int) -> bool:
-    file.seek(at)
-    if file.read(len(MAGIC)) != MAGIC:
-        return False
-    head = inflate(file, at, 512, 4096)
-    if head is None or not head[0].startswith(b"WARC/"):
-        return False
-    limit = HEADER_STEP
-    while True:
-        head = inflate(file, at, limit)
-        if head is None:
-            return False
-        if CRLF + CRLF in head[0] or len(head[0]) < limit:
-            return parse_header(head[0]) is not None
-        limit *= 4
+class Window:
+    """A file read from ``at`` on, each byte once; what lies before :meth:`drop` is forgotten."""
+
+    def __init__(self, file, at: int, step: int = STEP):
+        self.file, self.base, self.data, self.step = file, at, bytearray(), step
+        file.seek(at)
+
+    def end(self) -> int:
+        return self.base + len(self.data)
+
+    def more(self) -> bool:
+        raw = self.file.read(self.step)
+        self.data += raw
+        return bool(raw)
+
+    def drop(self, at: int) -> None:
+        if at - self.base >= min(self.step, len(self.data)):
+            del self.data[: at - self.base]
+            self.base = at
+
+    def find(self, what: bytes, at: int, end: int) -> int:
+        """The first place of ``what`` that starts in [at, end), -1 if none."""
+        while at < end:
+            while self.end() < min(at + self.step, end + len(what) - 1) and self.more():
+                pass
+            k = self.data.find(what, at - self.base, end + len(what) - 1 - self.base)
+            if k >= 0:
+                return self.base + k
+            before, at = at, max(at, self.end() - len(what) + 1)
+            if at == before:
+                return -1
+            self.drop(at)
+        return -1
+
+    def member(self, at: int, header_only: bool = False) -> tuple[bytes, int] | None:
+        """The gzip member of a WARC record at ``at`` and where it ends; None if none is there.
+
+        With ``header_only`` as much of it as holds its header.
+        """
+        unpack, out, pos = zlib.decompressobj(31), bytearray(), at
+        while not unpack.eof:
+            if pos >= self.end() and not self.more():
+                return None
+            raw = bytes(memoryview(self.data)[pos - self.base : pos - self.base + self.step])
+            try:
+                out += unpack.decompress(raw)
+            except zlib.error:
+                return None
+            pos += len(raw)
+            if len(out) >= 5 and not out.startswith(b"WARC/"):
+                return None
+            if header_only and CRLF + CRLF in out:
+                break
+        return (bytes(out), pos - len(unpack.unused_data)) if parse_header(out) else None
 
 
-def unbroken(file, at: int, end: int, size: int) -> bool:
-    """Whether whole members follow each other from ``at`` to the first start at or after ``end``.
+def chained(window: Window, at: int, end: int, size: int) -> bool:
+    """Whether up to ``CHAIN`` records follow each other from ``at``, or to the first one at or after ``end``.
 
-    A gzip member may hold another archive as stored bytes; its chain breaks where it ends, and
-    it is told apart unless it reaches over the end of the range.
+    A gzip member may hold another archive as stored bytes; its chain breaks where it ends.
     """
-    while at < size:
-        if not starts_record(file, at):
-            return False
-        if at >= end:
-            return True
-        member = inflate(file, at)
+    for _ in range(CHAIN):
+        member = window.member(at, header_only=at >= end)
         if member is None:
             return False
+        if at >= end or member[1] >= size:
+            return True
         at = member[1]
     return True
 
 
-def records_between(file, begin: int, end: int, size: int, step: int = 1 << 20) -> Iterator[bytes]:
-    """The records that start in [begin, end)."""
-    at = begin
+def records_between(file, begin: int, end: int, size: int, step: int = STEP) -> Iterator[bytes]:
+    """The records that start in [begin, end), from one pass over the range.
+
+    At the start of a range candidates are validated by a chain of at most ``CHAIN`` records.
+    An archive of more records than that inside one record, as stored bytes, would be taken for
+    the real chain; it ends in an error where that chain breaks, never in wrong records alone.
+    """
+    window, at = Window(file, begin, step), begin
     if begin:
-        while at < end:
-            file.seek(at)
-            chunk = file.read(min(step, end - at) + len(MAGIC) - 1)
-            k = chunk.find(MAGIC)
-            if k < 0 or at + k >= end:
-                at += max(1, len(chunk) - len(MAGIC) + 1)
-                continue
-            at += k
-            if starts_record(file, at) and unbroken(file, at, end, size):
+        while True:
+            at = window.find(MAGIC, at, end)
+            if at < 0:
+                return
+            if chained(window, at, end, size):
                 break
             at += 1
     while at < end:
-        if not starts_record(file, at):
-            raise ValueError(f"no record starts at byte {at}, where the one before ends")
-        member = inflate(file, at)
+        member = window.member(at)
         if member is None:
-            raise ValueError(f"the record at byte {at} is cut off")
+            raise ValueError(f"no record starts at byte {at}, where the one before ends, or it is cut off")
         yield member[0]
         at = member[1]
+        window.drop(at)
 
 
 # --- Spark ------------------------------------------------------------------------------------
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes one archive a task and returns the written list of them (path, bytes, records).
+def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archives of about ``archive_bytes`` at most, each by one task, and returns the written list of them (path, bytes, records).
 
     Only digests are grouped; pages meet their payload's owner in one sort-merge join on the
     digest, which Spark splits where one payload is very common.
@@ -207,18 +224,28 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, date:
         context = TaskContext.get()
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
-        name, draft = f"part-{context.partitionId():06d}.warc.gz", f".draft-{context.taskAttemptId()}"
-        records, size, out = 0, 0, None
+        draft = f".draft-{context.taskAttemptId()}"
+        number, records, size, out = 0, 0, 0, None
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, records, size, out
+            out.close()
+            name = f"part-{context.partitionId():06d}-{number:04d}.warc.gz"
+            fs.move(f"{top}/{draft}", f"{top}/{name}")
+            row = {"path": [f"{folder}/{name}"], "bytes": [size], "records": [records]}
+            number, records, size, out = number + 1, 0, 0, None
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
             for page_id, url, html, owner, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or fs.open_output_stream(f"{top}/{draft}", compression=None)
                 member = make_record(page_id, url, html.encode("utf-8"), owner, revisit, date)
                 out.write(member)
                 records, size = records + 1, size + len(member)
+                if size >= archive_bytes:
+                    yield close()
         if out:
-            out.close()
-            fs.move(f"{top}/{draft}", f"{top}/{name}")
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [size], "records": [records]})
+            yield close()
 
     return materialize(joined.mapInArrow(write, "path string, bytes long, records long"), "archives")
 
@@ -249,8 +276,13 @@ def read_archives(archives: DataFrame, split_bytes: int = 32 << 20, with_payload
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the archives, reads them back and deletes them."""
+    folder = fresh_path(spark, "warc")
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = materialize(read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    delete_path(spark, folder)
+    discard(archives)
+    return found
 
 
 OP3_SQL = r"""
