@@ -23,6 +23,7 @@ repeat a vector are linked to each other; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def pieces(x: np.ndarray, rows: int = 1_024) -> list[np.ndarray]:
+    """``x`` in pieces, so that distances to all lists stay below 140 MB."""
+    return np.array_split(x, -(-len(x) // rows) or 1)
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.concatenate([((centers * centers).sum(1) - 2 * p @ centers.T).argmin(1) for p in np.array_split(x, -(-len(x) // 4096) or 1)])
+    return np.concatenate([((centers * centers).sum(1) - 2 * p @ centers.T).argmin(1) for p in pieces(x)])
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -71,9 +77,7 @@ class Quantizer:
         side = rng.normal(size=sample.shape)
         side -= (side * sample).sum(1, keepdims=True) * sample
         turned = cosine * sample + math.sqrt(1 - cosine * cosine) * unit(side) if self.dim > 1 else sample
-        home = nearest(sample, self.centroids)
-        score = self.score(turned)
-        rank = (score < score[np.arange(len(home)), home][:, None]).sum(1)
+        rank = np.concatenate([self.rank(p, h) for p, h in zip(pieces(turned), pieces(nearest(sample, self.centroids)), strict=True)])
         self.probes = int(min(lists, np.quantile(rank, 0.99, method="higher") + 1))
 
     def split(self, x: np.ndarray) -> np.ndarray:
@@ -82,6 +86,11 @@ class Quantizer:
     def score(self, x: np.ndarray) -> np.ndarray:
         return (self.centroids * self.centroids).sum(1) - 2 * x @ self.centroids.T
 
+    def rank(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """How many lists are nearer than ``home``."""
+        score = self.score(x)
+        return (score < score[np.arange(len(home)), home][:, None]).sum(1)
+
     def probed(self, x: np.ndarray) -> np.ndarray:
         """The lists to probe, the vector's own first."""
         score = self.score(x)
@@ -115,16 +124,28 @@ def vectors_of(raw: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
+def fit(sample: DataFrame, dim: int, lists: int, cosine: float) -> Quantizer:
+    """The quantizer of ``sample`` (id, ck, vector), fitted in one task; at most 20 MB come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([unit(vectors_of(batch.column("vector"), dim)) for batch in batches])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Quantizer(x, lists, cosine))])], ["quantizer"])
+
+    return pickle.loads(sample.repartition(1).sortWithinPartitions("id", "ck").mapInArrow(run, "quantizer binary").first()[0])
+
+
 def embedding_links(classes: DataFrame, quantizer: Quantizer, cosine: float) -> DataFrame:
     """Rows (kind, a, b, ck): kind 0 adds b links to class (a, ck); kind 1 links a and b.
 
     ``classes``: id, ck, n, vector (float64 bytes), a written table of distinct vectors.
     """
     q = quantizer
+    shared = classes.sparkSession.sparkContext.broadcast(quantizer)
     fields = "list int, base boolean, id long, ck long, n long, home int, vector binary, codes binary, probes binary, own double, error double"
     names = [f.split(" ")[0] for f in fields.split(", ")]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -146,6 +167,7 @@ def embedding_links(classes: DataFrame, quantizer: Quantizer, cosine: float) ->
                 )
 
     def links(table: pa.Table) -> pa.Table:
+        q = shared.value
         is_base = table.column("base").to_numpy()
         m, s = table.filter(pa.array(is_base)), table.filter(pa.array(~is_base))
         out = {"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "ck": np.zeros(0, np.int64)}
@@ -190,11 +212,11 @@ def embedding_links(classes: DataFrame, quantizer: Quantizer, cosine: float) ->
         return pa.table({k: pa.array(v) for k, v in out.items()})
 
     rows = classes.mapInArrow(index, fields)
-    sides = {r["list"]: (r["m"], r["s"]) for r in rows.groupBy("list").agg(F.count_if("base").alias("m"), F.count_if(~F.col("base")).alias("s")).collect()}  # at most MOST_LISTS rows
-    blocks = [[-(-sides.get(k, (0, 0))[side] // BLOCK) or 1 for k in range(len(q.centroids))] for side in (0, 1)]
-    bm, bs = (F.element_at(F.array(*[F.lit(b) for b in side]), F.col("list") + 1) for side in blocks)
+    sides = rows.groupBy("list").agg(F.count_if("base").alias("m"), F.count_if(~F.col("base")).alias("s"))
+    cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    sides = materialize(sides.select("list", cut("m").alias("bm"), cut("s").alias("bs")), "sides")  # at most MOST_LISTS rows
     deal = F.xxhash64("id", "ck")
-    rows = rows.withColumns({"bm": bm, "bs": bs}).withColumn("met", F.explode(F.sequence(F.lit(0), F.when(F.col("base"), F.col("bs")).otherwise(F.col("bm")) - 1)))
+    rows = rows.join(F.broadcast(sides), "list").withColumn("met", F.explode(F.sequence(F.lit(0), F.when(F.col("base"), F.col("bs")).otherwise(F.col("bm")) - 1)))
     mine = F.pmod(deal, F.when(F.col("base"), F.col("bm")).otherwise(F.col("bs"))).cast("int")
     rows = rows.withColumns({"x": F.when(F.col("base"), mine).otherwise(F.col("met")), "y": F.when(F.col("base"), F.col("met")).otherwise(mine)}).drop("bm", "bs", "met")
     return rows.groupBy("list", "x", "y").applyInArrow(links, "kind int, a long, b long, ck long")
@@ -218,8 +240,8 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     lists = max(1, min(MOST_LISTS, n // LIST_SIZE))
-    sample = packed.orderBy(F.xxhash64("id", "ck"), "id").limit(max(SAMPLE, 8 * lists)).select("vector").toArrow().column("vector")
-    quantizer = Quantizer(unit(vectors_of(sample, dim)), lists, cosine)
+    sample = packed.orderBy(F.xxhash64("id", "ck"), "id", "ck").limit(max(SAMPLE, 8 * lists)).select("id", "ck", "vector")
+    quantizer = fit(sample, dim, lists, cosine)
     found = materialize(embedding_links(packed, quantizer, cosine), "links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("id"), "ck").agg(F.sum("b").alias("linked"))
     parts = connected_components(found.where("kind = 1").select("a", "b"))

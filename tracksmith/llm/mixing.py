@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tracksmith.llm.common import SPACE, materialize, running_total
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Slots of one source and shard that one task makes at a time.
+SLOTS = 1 << 16
 
 
 def word_count(text: str = "text") -> Column:
@@ -126,8 +128,10 @@ def plan_mix(
     )
     full = F.col("blocks") - 1  # the last block may be short; it closes each pass
     slot = (
-        drawn.join(F.broadcast(plan), "source_rank")
-        .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+        drawn.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOTS})")).alias("run"))
+        .repartition("source_rank", "shard", "run")  # runs of a bounded length, dealt out before they become rows
+        .join(F.broadcast(plan), "source_rank")
+        .withColumn("slot", F.explode(F.expr(f"sequence(first + run * {SLOTS}, first + least(n, (run + 1) * {SLOTS}) - 1)")))
         .withColumn("pass", F.expr("slot div blocks"))
         .withColumn("at", F.col("slot") % F.col("blocks"))
         .withColumn("block", F.when(F.col("at") == full, full).otherwise(permuted(F.col("at"), full, F.struct(F.lit(seed), "source_rank", "pass"))))
