@@ -188,19 +188,26 @@ def sample_poses(poses: DataFrame, sought: DataFrame, normalize: bool = True) ->
     return met.select("clip_id", "request_id", "bone", out.alias("x")).select("clip_id", "request_id", "bone", "x.q", "x.t", "x.s")
 
 
-def fill_defaults(poses: DataFrame, classes: DataFrame, mode: str, sub_track: str = "scale", additive1: bool = False) -> DataFrame:
-    """The values of default sub-tracks by mode: left out, a constant, each bone's own, or the legacy scale."""
+def fill_defaults(poses: DataFrame, classes: DataFrame, mode: str, sub_track: str = "scale", additive1: bool = False, defaults: DataFrame | None = None) -> DataFrame:
+    """The values of default sub-tracks by mode: left out, a constant, each bone's own, or the legacy scale.
+
+    ``defaults`` (clip_id, bone, value) has each bone's own; one that it lacks is the constant.
+    """
     column = {"rotation": "q", "translation": "t", "scale": "s"}[sub_track]
     constant = {"rotation": qvv.vec(*qvv.IDENTITY_Q), "translation": qvv.vec(0, 0, 0), "scale": qvv.vec(1, 1, 1)}[sub_track]
     of = classes.where(F.col("sub_track") == sub_track).select("clip_id", "bone", (F.col("class") == "default").alias("is_default"))
     met = poses.join(of, ["clip_id", "bone"])
+    if mode == "variable":
+        if defaults is None:
+            raise ValueError("variable defaults need a table of them")
+        met = met.join(defaults.select("clip_id", "bone", F.col("value").alias("_own")), ["clip_id", "bone"], "left")
     value = {
         "skipped": F.lit(None).cast("array<double>"),
         "constant": constant,
-        "variable": qvv.v_add(constant, qvv.vec(*[F.col("bone") * 0.0] * 3)) if sub_track != "rotation" else constant,
+        "variable": F.coalesce("_own", constant) if mode == "variable" else None,
         "legacy": qvv.vec(*[0.0 if additive1 else 1.0] * 3) if sub_track == "scale" else constant,
     }[mode]
-    return met.withColumn(column, F.when(F.col("is_default"), value).otherwise(F.col(column))).drop("is_default")
+    return met.withColumn(column, F.when(F.col("is_default"), value).otherwise(F.col(column))).drop("is_default", "_own")
 
 
 def pose_loops(poses: DataFrame, shells: DataFrame, metric: ErrorMetric | None = None) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksmith.operators import scalar
-from tracksmith.plans import pose_queries, report_queries, storage_queries, track_queries
+from tracksmith.plans import clip_queries, pose_queries, report_queries, storage_queries, track_queries
 from tracksmith.sources import views
 
-QUERIES = {**track_queries.QUERIES, **pose_queries.QUERIES, **report_queries.QUERIES, **storage_queries.QUERIES}
-ORACLE_SQL = {**track_queries.ORACLE_SQL, **pose_queries.ORACLE_SQL, **report_queries.ORACLE_SQL, **storage_queries.ORACLE_SQL}
+QUERIES = {**track_queries.QUERIES, **pose_queries.QUERIES, **report_queries.QUERIES, **storage_queries.QUERIES, **clip_queries.QUERIES}
+ORACLE_SQL = {**track_queries.ORACLE_SQL, **pose_queries.ORACLE_SQL, **report_queries.ORACLE_SQL, **storage_queries.ORACLE_SQL, **clip_queries.ORACLE_SQL}
 
 
 def rates_and_worst_errors(spark: SparkSession, sf_dir: str, precision: float = 1e-3) -> DataFrame:

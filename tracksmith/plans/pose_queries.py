@@ -299,8 +299,12 @@ def sub_tracks(spark, sf_dir):
     return _classes(spark, sf_dir)[1]
 
 
-for _mode, _value in (("skipped", "NULL"), ("constant", "[1.0, 1.0, 1.0]"), ("variable", "[1.0, 1.0, 1.0]"), ("legacy", "[1.0, 1.0, 1.0]")):
+for _mode, _value in (("skipped", "NULL"), ("constant", "[1.0, 1.0, 1.0]"), ("variable", "[1.0 + st.bone, 2.0, 0.5::DOUBLE]"), ("legacy", "[1.0, 1.0, 1.0]")):
     add(
         f"default_fill_{_mode}",
         f"WITH {POSES}, {_STILL}, {_CLASSES}, z AS (SELECT st.clip_id, st.sample_index, st.bone, CASE WHEN class = 'default' THEN {_value} ELSE s END AS s FROM st JOIN cl ON cl.clip_id = st.clip_id AND cl.bone = st.bone AND cl.sub_track = 'scale') " + s_out(K, "z", "s"),
-    )(lambda spark, sf_dir, m=_mode: out(ps.fill_defaults(*_classes(spark, sf_dir), m).select(*KEYS, "s"), KEYS))
+    )(lambda spark, sf_dir, m=_mode: out(ps.fill_defaults(*_classes(spark, sf_dir), m, defaults=_own_defaults(spark, sf_dir)).select(*KEYS, "s"), KEYS))
+
+
+def _own_defaults(spark, sf_dir) -> DataFrame:
+    return poses_of(spark, sf_dir).select("clip_id", "bone").distinct().withColumn("value", F.array(F.col("bone") + 1.0, F.lit(2.0), F.lit(0.5)))
