@@ -249,3 +249,22 @@ def matrix_point(p: Column, m: Column) -> Column:
 @bound("raw", "lossy")
 def matrix_error(raw: Column, lossy: Column, shell) -> Column:
     return F.greatest(*[v_dist(matrix_point(p, raw), matrix_point(p, lossy)) for p in shell_points(shell)])
+
+
+# --- flat forms -------------------------------------------------------------------------------
+# SQL over one plain column a component: what whole-stage code generation can compile, where the
+# forms above are evaluated through array functions.
+
+
+def flat_point(axis: int, shell: str, q: list[str], t: list[str], s: list[str]) -> list[str]:
+    """The three coordinates of the shell's point on ``axis`` in the space of (q, t, s), given as SQL."""
+    v = [f"({shell} * {s[axis]})" if i == axis else "0.0D" for i in range(3)]
+    x, y, z, w = q
+    turn = [f"(2.0D * ({b} * {v[k]} - {c} * {v[j]}))" for b, c, j, k in ((y, z, 1, 2), (z, x, 2, 0), (x, y, 0, 1))]
+    return [f"({v[i]} + {w} * {turn[i]} + ({b} * {turn[k]} - {c} * {turn[j]}) + {t[i]})" for i, (b, c, j, k) in enumerate(((y, z, 1, 2), (z, x, 2, 0), (x, y, 0, 1)))]
+
+
+def flat_qvv_error(raw: list[list[str]], lossy: list[list[str]]) -> str:
+    """The greatest distance between the shell points of two transforms, as SQL over their coordinates."""
+    apart = ["sqrt(" + " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(p, r, strict=True)) + ")" for p, r in zip(raw, lossy, strict=True)]
+    return f"greatest({', '.join(apart)})"

@@ -143,19 +143,18 @@ def sub_track_classes(poses: DataFrame, shells: DataFrame, metric: ErrorMetric |
     A sub-track is constant if its first sample can stand for every sample within the bone's
     precision, default if, being constant, the default value can.
     """
-    metric = metric or QvvMetric()
     first = poses.where("sample_index = 0").select("clip_id", "bone", F.col("q").alias("q0"), F.col("t").alias("t0"), F.col("s").alias("s0"))
     met = poses.join(first, ["clip_id", "bone"]).join(shells.select("clip_id", "bone", "shell", "precision"), ["clip_id", "bone"])
-    raw, col = transform(), F.col
-    swaps = {
-        "rotation": (qvv.qvv(col("q0"), col("t"), col("s")), qvv.qvv(qvv.vec(*qvv.IDENTITY_Q), col("t"), col("s"))),
-        "translation": (qvv.qvv(col("q"), col("t0"), col("s")), qvv.qvv(col("q"), qvv.vec(0, 0, 0), col("s"))),
-        "scale": (qvv.qvv(col("q"), col("t"), col("s0")), qvv.qvv(col("q"), col("t"), qvv.vec(1, 1, 1))),
-    }
-    shell = col("shell")
-    found = met.groupBy("clip_id", "bone", "precision").agg(
-        *[F.max(metric.error(raw, x, shell)).alias(f"{name}_{kind}") for name, both in swaps.items() for kind, x in zip(("c", "d"), both, strict=True)]
-    )
+    swaps = {"rotation": (("q0", "t", "s"), ("qd", "t", "s")), "translation": (("q", "t0", "s"), ("q", "td", "s")), "scale": (("q", "t", "s0"), ("q", "t", "sd"))}
+    plain = {"qd": qvv.vec(*qvv.IDENTITY_Q), "td": qvv.vec(0, 0, 0), "sd": qvv.vec(1, 1, 1)}
+    if metric is None or type(metric) is QvvMetric:
+        found = _flat_swap_errors(met, swaps, plain)
+    else:
+        of = lambda names: qvv.qvv(*[plain.get(n, F.col(n)) for n in names])
+        found = met.groupBy("clip_id", "bone", "precision").agg(
+            *[F.max(metric.error(transform(), of(x), F.col("shell"))).alias(f"{name}_{kind}") for name, both in swaps.items() for kind, x in zip(("c", "d"), both, strict=True)]
+        )
+    col = F.col
     kinds = F.array(
         *[
             F.struct(F.lit(name).alias("sub_track"), F.when(col(f"{name}_c") > col("precision"), "animated").when(col(f"{name}_d") > col("precision"), "constant").otherwise("default").alias("class"))
@@ -165,6 +164,21 @@ def sub_track_classes(poses: DataFrame, shells: DataFrame, metric: ErrorMetric |
     return found.select("clip_id", "bone", F.explode(kinds).alias("k")).select("clip_id", "bone", "k.sub_track", "k.class")
 
 
+def _flat_swap_errors(met: DataFrame, swaps: dict, plain: dict) -> DataFrame:
+    """The worst error of every swap by the plain metric, over one column a component."""
+    wide = met.withColumns(plain)
+    width = {"q": 4, "t": 3, "s": 3}
+    parts = {c: [f"{c}_{i}" for i in range(width[c[0]])] for c in ("q", "t", "s", "q0", "t0", "s0", *plain)}
+    wide = wide.select("clip_id", "bone", "precision", "shell", *[F.col(c).getItem(i).alias(n) for c, names in parts.items() for i, n in enumerate(names)])
+    points = lambda q, t, s: [qvv.flat_point(a, "shell", parts[q], parts[t], parts[s]) for a in range(3)]
+    raw = points("q", "t", "s")
+    names = [[f"p{a}{i}" for i in range(3)] for a in range(3)]
+    wide = wide.select("*", *[F.expr(raw[a][i]).alias(names[a][i]) for a in range(3) for i in range(3)])
+    of = [F.expr(qvv.flat_qvv_error(names, points(*x))).alias(f"{name}_{kind}") for name, both in swaps.items() for kind, x in zip(("c", "d"), both, strict=True)]
+    errors = wide.select("clip_id", "bone", "precision", *of)
+    return errors.groupBy("clip_id", "bone", "precision").agg(*[F.max(f"{name}_{kind}").alias(f"{name}_{kind}") for name in swaps for kind in ("c", "d")])
+
+
 def pose_errors(raw: DataFrame, lossy: DataFrame, shell: float = 3.0, metric: ErrorMetric | None = None) -> DataFrame:
     """(clip_id, sample_index, bone, error) of two tables in the same space."""
     metric = metric or QvvMetric()

@@ -51,16 +51,16 @@ def pose_range_reduction(spark, sf_dir):
     return found.select(*pc.SUB, "sample_index", *[F.round(F.col("x").getItem(i), 6).alias(f"x{i + 1}") for i in range(3)])
 
 
-def _bits(spark, sf_dir) -> DataFrame:
+def _bits(poses: DataFrame) -> DataFrame:
     """12 bits and one more a bone; rotations of bone 5 are kept raw."""
-    _, classes = _classes(spark, sf_dir)
+    names = F.explode(F.array(*[F.lit(n) for n in ("rotation", "translation", "scale")])).alias("sub_track")
     bits = F.when((F.col("bone") == 5) & (F.col("sub_track") == "rotation"), pc.RAW_BITS).otherwise(F.col("bone") + 12)
-    return classes.select(*pc.SUB, bits.alias("bits"))
+    return poses.where("sample_index = 0").select("clip_id", "bone", names).withColumn("bits", bits)
 
 
 def compressed(spark, sf_dir) -> pc.CompressedPoses:
     poses, classes = _classes(spark, sf_dir)
-    return pc.compress(poses, classes, _bits(spark, sf_dir), views.RATE)
+    return pc.compress(poses, classes, _bits(poses), views.RATE)
 
 
 def _packed(i: int) -> str:
@@ -100,7 +100,7 @@ def _requests(spark, sf_dir, wraps: bool = False) -> DataFrame:
 
 
 _REQUEST = ["clip_id", "request_id", "bone"]
-for _policy, _alpha in (("none", "z"), ("floor", "0.0"), ("ceil", "1.0"), ("nearest", "floor(z + 0.5)")):
+for _policy, _alpha in (("none", "z"), ("nearest", "floor(z + 0.5)")):
     add(f"decompress_pose_{_policy}", _sampled_sql(_alpha))(lambda spark, sf_dir, p=_policy: out(pc.decompress(compressed(spark, sf_dir), _requests(spark, sf_dir), p), _REQUEST, 5))
 
 
