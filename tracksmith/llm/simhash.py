@@ -272,8 +272,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- verified near-duplicates -----------------------------------------------------------------
 
-#: Shingles of one block of documents that are counted together, the count in a block from which one may be frequent, and the longest list of them (16 MB).
-COUNT_BLOCK, OFTEN, LISTED = 4_000_000, 2, 1_000_000
+#: Shingles of one block of documents that are counted together, the count in a block from which one may be frequent, and the longest list of them (8 MB).
+COUNT_BLOCK, OFTEN, LISTED = 2_000_000, 2, 500_000
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -325,6 +325,21 @@ def prints_and_counts(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, h long, n long")
 
 
+def most_frequent(counted: DataFrame, most: int) -> pa.Table:
+    """The rows of ``counted`` (h, n), a written table, above the least level of ``n`` that at most ``most`` rows reach.
+
+    No task sorts or holds them: only the sizes of levels, some hundreds of rows, are gathered first.
+    """
+    level = F.floor(F.log2("n") * 16)
+    found, least, total = sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True), None, 0
+    for value, rows in found:
+        total += rows
+        if total > most:
+            break
+        least = value
+    return counted.where(level >= least if least is not None else F.lit(False)).toArrow()
+
+
 def prefixes(texts: DataFrame, words: int, similarity: float, frequent: pa.Table) -> DataFrame:
     """(doc_id, size, head): the first |x| - ceil(similarity |x|) + 1 shingles in the common order, as bytes.
 
@@ -457,7 +472,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     passed = materialize(prints_and_counts(texts, words), "prints")
-    frequent = passed.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    counted = materialize(passed.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")), "counted")
+    frequent = most_frequent(counted, LISTED)
     heads = materialize(prefixes(texts, words, similarity, frequent), "heads")
     shared = materialize(shared_prefixes(heads), "shared")
     discard(heads)
