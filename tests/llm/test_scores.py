@@ -59,50 +59,59 @@ def test_features():
 # --- language model ---------------------------------------------------------------------------
 
 
-def brute_katz(given):
+def brute_katz(given, order=3):
     trained = [zlib.crc32(str("" if i is None else i).encode()) % 10 != 0 for i, *_ in given]
-    texts = [words(t) for _, t, *_ in given]
-    c, bi, hist = Counter(), Counter(), Counter()
+    texts = [[*words(t), "</s>"] for _, t, *_ in given]
+    c, grams = Counter(), [Counter() for _ in range(order + 1)]
+    before = lambda w, i, k: tuple((["<s>"] * order + w[:i])[-(k - 1) :]) if k > 1 else ()
     for w, train in zip(texts, trained, strict=True):
         if train:
-            seq = [*w, "</s>"]
-            c.update(seq)
-            for h, x in zip(["<s>", *w], seq, strict=True):
-                bi[h, x] += 1
-                hist[h] += 1
+            c.update(w)
+            for k in range(2, order + 1):
+                grams[k].update((before(w, i, k), x) for i, x in enumerate(w))
     n, v = sum(c.values()), len(c)
     model = katz.Words(n, v, np.array([sum(k == r for k in c.values()) for r in range(1, 7)]))
-    p = lambda x: float(model.probability(np.array([c.get(x, 0)]))[0])
-    d = katz.discounts(np.array([sum(k == r for k in bi.values()) for r in range(1, 7)]), 2)
-    disc = lambda k: float(d[k]) if k <= 5 else 1.0
-    follow = defaultdict(list)
-    for (h, x), k in bi.items():
-        if k >= 2:
-            follow[h].append((x, k))
+    follow = [defaultdict(dict) for _ in range(order + 1)]
+    d = [None] * (order + 1)
+    for k in range(2, order + 1):
+        d[k] = katz.discounts(np.array([sum(x == r for x in grams[k].values()) for r in range(1, 7)]))
+        for (h, x), times in grams[k].items():
+            follow[k][h][x] = times
     weights = {}
-    for h, xs in follow.items():
-        mass = sum(disc(k) * k / hist[h] for _, k in xs)
-        scale = 1.0 if mass < 1 - 1e-9 else hist[h] / (hist[h] + 1)
-        weights[h] = scale, (1 - scale * mass) / (1 - sum(p(x) for x, _ in xs))
-        total = sum(scale * disc(k) * k / hist[h] for _, k in xs) + weights[h][1] * (1 - sum(p(x) for x, _ in xs))
-        assert total == pytest.approx(1)
-    assert sum(p(x) for x in c) + model.unknown == pytest.approx(1)
+
+    def p(h, x):
+        k = len(h) + 1
+        if k == 1:
+            return float(model.probability(np.array([c.get(x, 0)]))[0])
+        seen = follow[k].get(h)
+        if not seen:
+            return p(h[1:], x)
+        kept = lambda t: float(d[k][t]) * t if t <= 5 else t
+        total = sum(seen.values())
+        if h not in weights:
+            mass = sum(map(kept, seen.values())) / total
+            scale = 1.0 if mass < 1 - 1e-9 else total / (total + 1)
+            weights[h] = scale, (1 - scale * mass) / (1 - sum(p(h[1:], y) for y in seen))
+        scale, left = weights[h]
+        return scale * kept(seen[x]) / total if x in seen else left * p(h[1:], x)
+
+    assert not n or sum(p((), x) for x in c) + model.unknown == pytest.approx(1)
+    for k in range(2, order + 1):
+        for h in sorted(follow[k])[:20]:
+            assert sum(p(h, x) for x in c) + p(h, "\0 unknown") == pytest.approx(1)
     out = []
     for (i, *_), w, train in zip(given, texts, trained, strict=True):
-        score = 0.0
-        for h, x in zip(["<s>", *w], [*w, "</s>"], strict=True):
-            k = bi.get((h, x), 0)
-            score += math.log10(weights[h][0] * disc(k) * k / hist[h]) if k >= 2 else math.log10(weights.get(h, (1, 1.0))[1] * p(x))
-        base = sum(math.log10((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, "</s>"])
-        out.append((i, not train, len(w) + 1, sum(c.get(x, 0) > 0 for x in [*w, "</s>"]), n, base, score))
+        score = sum(math.log10(p(before(w, j, order), x)) for j, x in enumerate(w))
+        base = sum(math.log10((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        out.append((i, not train, len(w), sum(c.get(x, 0) > 0 for x in w), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("chunk,hot", [(4_500_000, 1_000), (500, 1)])
-def test_katz_equals_brute_force(docs, chunk, hot):
+@pytest.mark.parametrize("chunk,hot,order", [(4_500_000, 1_000, 3), (500, 1, 3), (500, 1, 2), (500, 1, 4)])
+def test_katz_equals_brute_force(docs, chunk, hot, order):
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
-    got = sorted((tuple(r) for r in katz.score_corpus(docs, chunk_tokens=chunk, hot_least=hot).collect()), key=key)
-    want = sorted(brute_katz(rows()), key=key)
+    got = sorted((tuple(r) for r in katz.score_corpus(docs, order=order, chunk_tokens=chunk, hot_least=hot).collect()), key=key)
+    want = sorted(brute_katz(rows(), order), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-9)
@@ -181,13 +190,6 @@ def test_exact_query_equals_sql(spark, sf_dir):
     assert_same(exact.op7_exact_dedup(spark, sf_dir), exact.OP7_SQL, sf_dir)
 
 
-def test_katz_replies_by_shuffle(docs, monkeypatch):
-    scores = lambda: sorted(r.score for r in katz.score_corpus(docs, chunk_tokens=3_000).collect())
-    want = scores()
-    monkeypatch.setattr(katz, "BROADCAST_BYTES", 0)
-    assert scores() == pytest.approx(want)
-
-
 def test_licence_key_phrases_at_the_edges_of_a_file(spark):
     texts = ["Apache License Version 2.0", "GNU General Public License, Version 3", "one two three Apache License Version 2.0", "GNU General Public License Version 2 and more words", "License Version 2.0", "permission is hereby granted free of charge"]
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])

@@ -1,20 +1,21 @@
-"""Katz backoff: Good-Turing discounted bigrams over Good-Turing discounted words.
+"""Katz backoff: Good-Turing discounted n-grams of every order up to three, evaluated recursively.
 
-A token's probability is that of its bigram, discounted, where training saw the bigram at
-least twice, and otherwise the history's backoff weight times the token's own probability.
-Bigrams seen once count as unseen, as Katz advises; the mass they and the discounts free is
-what the backoff weight hands out, so that for every history the probabilities of all known
-words and of the one class of unknown words add up to 1 exactly. A text's history starts anew.
+A token's probability is that of its n-gram, discounted, where training saw the n-gram, and
+otherwise the history's backoff weight times the probability that the next lower order gives,
+down to discounted words. Counts of every size are kept, those of one included; the mass that the
+discounts free is what the backoff weight hands out, so that for every history the probabilities
+of all known words and of the one class of unknown words add up to 1 exactly. A text's history
+starts anew.
 
 Documents are encoded once into chunks of local word numbers, a written table. Words are
-counted by word hash, bigrams by history in a shuffle that the score pass reads; neither they nor
-the backoff weights are written as a table, so only the documents given are scored. Histories
-so frequent that they would fill a partition are dealt out by their next word as well and
-their sums put together. A chunk sends each distinct bigram once, with the documents it occurs
-in, and gets back one sum per document: neither the vocabulary nor the bigrams are ever held
-by one task or the driver, which sees counts of counts and the few frequent histories only.
+counted by word hash; then, order by order, a chunk sends each distinct n-gram once, by its history,
+with the probability that the lower order gave it, and gets back its own probability and count.
+These replies are written as a table; counts by history and backoff weights live in the shuffle
+only, so just the documents given are scored. Neither the vocabulary nor the n-grams are ever
+held by one task or the driver, which sees the word counts of counts.
 
-Words are told apart by 64-bit hashes, next words of one history by 48 bits of them.
+Words are told apart by 64-bit hashes, histories by 64 bits of them mixed, next words of one
+history by 48 bits.
 
 Defined cases: null and empty texts are the end token alone; without training documents every
 probability is 1 (log 0); a null doc_id counts as the id '' for the fold; repeated rows each
@@ -34,21 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksmith.llm.common import crc_mod, materialize
+from tracksmith.llm.common import crc_mod, discard, materialize
 
-#: Counts up to which Good-Turing discounts apply, and the least count of a bigram of its own.
-TOP, KEPT = 5, 2
-CHUNK_TOKENS, CHUNK_DOCS, BUCKET_TOKENS = 1_000_000, 60_000, 2_500_000
+#: Counts up to which Good-Turing discounts apply, and the words of the longest n-grams.
+TOP, ORDER = 5, 3
+CHUNK_TOKENS, CHUNK_DOCS, BUCKET_TOKENS = 1_000_000, 60_000, 1_500_000
 #: No word holds a space, so these hash no word.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" start"))
-BROADCAST_BYTES = 64 << 20
 
 
 # --- the model's numbers ----------------------------------------------------------------------
 
 
-def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
-    """d[r] for counts r = 0..TOP; counts above keep all. Below ``least`` nothing is kept.
+def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
+    """d[r] for counts r = 0..TOP; counts above keep all.
 
     The highest k for which Good-Turing gives discounts in (0, 1] is used; small corpora may
     have none and are not discounted.
@@ -64,7 +64,7 @@ def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
         if ((d > 0) & (d <= 1)).all():
             out[1 : k + 1] = d
             break
-    out[:least] = 0.0
+    out[0] = 0.0
     return out
 
 
@@ -219,74 +219,98 @@ def count_words(encoded: DataFrame, bits: int) -> DataFrame:
     return materialize(sent.groupBy("part").applyInArrow(total, "chunk long, part int, counts binary, stats array<long>"), "words")
 
 
-# --- bigrams ----------------------------------------------------------------------------------
+# --- n-grams ----------------------------------------------------------------------------------
 
 
-def _pairs(encoded: DataFrame, words: Words, starts: int, buckets: int, hot_least: int) -> DataFrame:
-    """(bucket, chunk, blob): the distinct bigrams of a chunk by bucket of the history; buckets from
-    ``buckets`` on carry what a chunk knows by itself: base scores and known tokens."""
-    hot = max(hot_least, words.total // (4 * buckets))
-    mask = np.uint64(buckets - 1)
+def mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of a history's hash and a word's."""
+    x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Grams:
+    """The distinct n-grams of a chunk, numbered: ``place`` of every token's own, and of each n-gram the
+    hash and number of its history (the n-gram without its last word; one past the last number is the
+    start), its word and its suffix (the n-gram without its first word)."""
+
+    def __init__(self, lengths: np.ndarray, tokens: np.ndarray, hashes: np.ndarray, order: int):
+        first = np.cumsum(lengths) - lengths
+        v, self.place, own, many = len(hashes), tokens.astype(np.int64), hashes, len(hashes)
+        for k in range(2, order + 1):
+            history = np.append(np.int64(many), self.place[:-1])
+            history[first] = many
+            below = self.place
+            gram, self.place = np.unique(history * v + tokens, return_inverse=True)
+            self.history, self.word, many = gram // v, gram % v, len(gram)
+            self.history_hash = np.append(own, START + np.uint64(k))[self.history]
+            own = mix(self.history_hash, hashes[self.word])
+            self.suffix = np.empty(many, dtype=np.int64)
+            self.suffix[self.place] = below
+        self.size = many
+
+
+def _word_counts(replies: pa.Table, hashes: np.ndarray) -> np.ndarray:
+    parts = sorted((p, b) for p, b, k in zip(*(replies.column(c).to_pylist() for c in ("part", "blob", "level")), strict=True) if k == 1)
+    counts = np.empty(len(hashes), dtype=np.int64)
+    counts[np.argsort(hashes)] = np.concatenate([thaw(b)[0] for _, b in parts])
+    return counts
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                train, lengths, hashes, tokens = _open(batch, i)
-                replies = sorted(((r["part"], r["counts"]) for r in batch.column("replies")[i].as_py()), key=lambda r: r[0])
-                counts = np.empty(len(hashes), dtype=np.int64)
-                counts[np.argsort(hashes)] = np.concatenate([thaw(c)[0] for _, c in replies])
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                base = np.bincount(doc, weights=words.base(counts)[tokens], minlength=len(lengths))
-                known = np.bincount(doc, weights=(counts > 0)[tokens], minlength=len(lengths))
-                first = np.cumsum(lengths) - lengths
-                v = len(hashes) + 1
-                history = np.append(np.int64(v - 1), tokens[:-1].astype(np.int64))
-                history[first] = v - 1
-                hs, cs = np.append(hashes, START), np.append(counts, starts)
-                # one number a (bigram, document), then one a bigram
-                code = history * v + tokens
-                pair, place = np.unique(code, return_inverse=True)
-                del code, history
-                both, times = np.unique(place.astype(np.int64) * len(lengths) + doc, return_counts=True)
-                del place, doc
-                of_pair, of_doc = both // len(lengths), both % len(lengths)
-                in_train = np.bincount(of_pair, weights=times * train[of_doc], minlength=len(pair)).astype(np.uint32)
-                n_docs = np.bincount(of_pair, minlength=len(pair))
-                h, w = hs[pair // v], hs[pair % v]
-                is_hot = cs[pair // v] > hot
-                bucket = (np.where(is_hot, h ^ (w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)), h) & mask).astype(np.int64)
-                order = np.lexsort((w & np.uint64(2**48 - 1), h, bucket))
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                starts_at = np.cumsum(n_docs) - n_docs
-                rows = []
-                for k in range(buckets):
-                    o = order[edges[k] : edges[k + 1]]
-                    if not len(o):
-                        continue
-                    turn = np.flatnonzero(np.append(True, h[o][1:] != h[o][:-1]))
-                    n = n_docs[o]
-                    take = np.repeat(starts_at[o], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    blob = freeze(
-                        h[o][turn], np.diff(np.append(turn, len(o))).astype(np.uint32), is_hot[o][turn].astype(np.uint8), cut48(w[o]),
-                        cs[pair[o] % v].astype(np.uint32), in_train[o], n.astype(np.uint32), of_doc[take].astype(np.uint16), times[take].astype(np.uint32),
-                    )
-                    rows.append((k, blob))
-                chunk = batch.column("chunk")[i].as_py()
-                rows.append((buckets + chunk % buckets, freeze(base, known.astype(np.uint32))))
-                for at in range(0, len(rows), 16):
-                    part = rows[at : at + 16]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([chunk] * len(part)), pa.array([b for _, b in part], pa.binary())], ["bucket", "chunk", "blob"])
 
-    return encoded.mapInArrow(send, "bucket int, chunk long, blob binary")
+def _replies(replies: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probability and training count of each n-gram of a chunk."""
+    value, count = np.zeros(size), np.zeros(size, dtype=np.int64)
+    for blob, level in zip(replies.column("blob").to_pylist(), replies.column("level").to_pylist(), strict=True):
+        if level > 1:
+            step, p, c = thaw(blob)
+            at = np.cumsum(step.astype(np.int64))
+            value[at], count[at] = p, c
+    return value, count
+
+
+def deal_grams(encoded: DataFrame, replies: DataFrame, level: int, words: Words, starts: int, buckets: int, hot_least: int) -> DataFrame:
+    """(bucket, chunk, blob): the distinct n-grams of a chunk by bucket of the history.
+
+    A history so frequent that it would fill a bucket is dealt out over as many as its count needs.
+    """
+    hot = max(hot_least, words.total // (4 * buckets))
+
+    def send(mine: pa.Table, given: pa.Table) -> pa.Table:
+        train, lengths, hashes, tokens = _open(mine, 0)
+        grams = Grams(lengths, tokens, hashes, level)
+        if level == 2:
+            counts = _word_counts(given, hashes)
+            lower = words.probability(counts)
+        else:
+            lower, counts = _replies(given, Grams(lengths, tokens, hashes, level - 1).size)
+        seen = np.bincount(grams.place, weights=np.repeat(train, lengths), minlength=grams.size).astype(np.uint32)
+        h, w, times = grams.history_hash, hashes[grams.word], np.append(counts, starts)[grams.history]
+        is_hot = times > hot
+        spread = np.minimum(-(-times // hot), buckets).astype(np.uint64)
+        bucket = (np.where(is_hot, h + (w >> np.uint64(20)) % np.maximum(spread, np.uint64(1)), h) & np.uint64(buckets - 1)).astype(np.int64)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # histories stay together
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            o = order[edges[k] : edges[k + 1]]
+            if len(o):
+                turn = np.flatnonzero(np.append(True, h[o][1:] != h[o][:-1]))
+                runs = np.diff(np.append(turn, len(o))).astype(np.uint32)
+                step = np.diff(o, prepend=0).astype(np.uint32)
+                rows.append((k, freeze(h[o][turn], runs, is_hot[o][turn].astype(np.uint8), cut48(w[o]), lower[grams.suffix[o]], seen[o], step)))
+        chunk = mine.column("chunk")[0].as_py()
+        return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "blob": pa.array([b for _, b in rows], pa.binary())})
+
+    sides = encoded.drop("ids").groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    return sides.applyInArrow(send, "bucket int, chunk long, blob binary").repartition(2 * buckets, "bucket")
 
 
 class Bucket:
-    """All bigrams of a bucket, counted over its chunks."""
+    """All n-grams of a bucket, counted over its chunks."""
 
-    def __init__(self, blobs: list[bytes], words: Words):
+    def __init__(self, blobs: list[bytes]):
         parts = [thaw(b) for b in blobs]
-        self.sizes = [len(p[3]) for p in parts]
-        self.docs = [(p[6], p[7], p[8]) for p in parts]
+        self.steps = [p[6] for p in parts]
         h = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         hot = np.concatenate([np.repeat(p[2], p[1]) for p in parts])
         w = np.concatenate([join48(p[3]) for p in parts])
@@ -297,105 +321,105 @@ class Bucket:
         self.place[order] = np.cumsum(new) - 1
         self.count = np.add.reduceat(np.concatenate([p[5] for p in parts]).astype(np.int64)[order], start)
         lead = order[start]
-        self.unigram = words.probability(np.concatenate([p[4] for p in parts])[lead].astype(np.int64))
+        self.lower = np.concatenate([p[4] for p in parts])[lead]
         self.history_start = np.flatnonzero(np.append(True, h[lead][1:] != h[lead][:-1]))
         self.history, self.hot = h[lead][self.history_start], hot[lead][self.history_start] == 1
         self.of = np.repeat(np.arange(len(self.history)), np.diff(np.append(self.history_start, len(lead))))
-        self.kept = self.count >= KEPT
 
     def sums(self) -> np.ndarray:
-        """Per history: kept counts of 2..TOP each, kept counts above, kept word mass, all counts."""
-        columns = [np.where(self.count == r, self.count, 0) for r in range(KEPT, TOP + 1)]
-        columns += [np.where(self.count > TOP, self.count, 0), np.where(self.kept, self.unigram, 0.0), self.count]
+        """Per history: counts of 1..TOP each, counts above, lower-order mass of the words seen, all counts."""
+        columns = [np.where(self.count == r, r, 0) for r in range(1, TOP + 1)]
+        columns += [np.where(self.count > TOP, self.count, 0), np.where(self.count > 0, self.lower, 0.0), self.count]
         return np.stack([np.add.reduceat(c.astype(float), self.history_start) for c in columns], axis=1)
 
 
 def history_weights(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scale of kept bigrams, backoff weight) of histories from their sums."""
+    """(scale of seen n-grams, backoff weight) of histories from their sums."""
     seen = sums[:, -1]
-    mass = (sums[:, : TOP - KEPT + 1] @ d[KEPT:] + sums[:, -3]) / np.maximum(seen, 1)
+    mass = (sums[:, :TOP] @ d[1:] + sums[:, TOP]) / np.maximum(seen, 1)
     scale = np.where(mass < 1 - 1e-9, 1.0, seen / (seen + 1))  # nothing freed: one more count is set aside
     return scale, (1 - scale * mass) / (1 - sums[:, -2])
 
 
-def score_corpus(docs: DataFrame, held_out: int = 10, chunk_tokens: int = CHUNK_TOKENS, hot_least: int = 1_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def answer_grams(dealt: DataFrame, level: int) -> DataFrame:
+    """(chunk, part, level, blob): the probability and count of each n-gram sent, to its chunk.
+
+    Each bucket gets the sums of its own hot histories from the other buckets that have a share of
+    them, and the counts of counts of all; both come to it by the bucket number.
+    """
+
+    def statistics(table: pa.Table) -> pa.Table:
+        b = Bucket(table.column("blob").to_pylist())
+        rows = [[float((b.count == r).sum()) for r in range(1, TOP + 2)] + [0.0] * (width - TOP - 1), *b.sums()[b.hot].tolist()]
+        keys = [None, *b.history[b.hot].view(np.int64).tolist()]
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(keys), pa.int32()), "key": pa.array(keys, pa.int64()), "v": pa.array(rows, pa.list_(pa.float64()))})
+
+    width = TOP + 3
+    own = dealt.groupBy("bucket").applyInArrow(statistics, "bucket int, key long, v array<double>")
+    total = own.groupBy("key").agg(F.array(*[F.sum(F.col("v").getItem(i)) for i in range(width)]).alias("v"))
+    stats = own.select("bucket", F.col("key").alias("k")).join(total, F.col("k").eqNullSafe(F.col("key"))).select("bucket", "key", "v")
+
+    def score(table: pa.Table, given: pa.Table) -> pa.Table:
+        known = dict(zip(given.column("key").to_pylist(), given.column("v").to_pylist(), strict=True))
+        d = discounts(np.array(known[None][: TOP + 1]))
+        b = Bucket(table.column("blob").to_pylist())
+        sums = b.sums()
+        for k in np.flatnonzero(b.hot):
+            sums[k] = known[int(b.history[k].view(np.int64))]
+        scale, weight = history_weights(sums, d)
+        rate = d[np.minimum(b.count, TOP)] * (b.count <= TOP) + (b.count > TOP)
+        value = np.where(b.count > 0, scale[b.of] * rate * b.count / np.maximum(sums[b.of, -1], 1), weight[b.of] * b.lower)
+        out, at = [], 0
+        for step in b.steps:
+            place = b.place[at : at + len(step)]
+            out.append(freeze(step, value[place], b.count[place].astype(np.uint32)))
+            at += len(step)
+        n = len(out)
+        return pa.table({"chunk": table.column("chunk").cast(pa.int64()), "part": table.column("bucket").cast(pa.int32()), "level": pa.array([level] * n, pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    sides = dealt.groupBy("bucket").cogroup(stats.groupBy("bucket"))
+    return materialize(sides.applyInArrow(score, REPLIES), "replies")
+
+
+REPLIES = "chunk long, part int, level int, blob binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_corpus(docs: DataFrame, held_out: int = 10, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, hot_least: int = 1_000) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, by n-grams of up to ``order`` >= 2 words."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
     flag = (crc_mod("doc_id", held_out) != 0).cast("int").alias("train")
     encoded = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag, "text").mapInArrow(lambda batches: _encode(batches, chunk_tokens), ENCODED), "encoded")
     flags = F.hex("train")  # a byte a document: 01 or 00
     size = encoded.agg(F.sum(F.octet_length("tokens")), F.sum(F.aggregate(F.transform("ids", lambda x, i: F.substring(flags, 2 * i + 2, 1).cast("int")), F.lit(0), lambda a, x: a + x)), F.count("*")).first()
     if not size[2]:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return spark.createDataFrame([], SCORES)
     bits = max(3, int(np.ceil(np.log2(max(1, size[0] / (2 * BUCKET_TOKENS))))))
     counted = count_words(encoded, bits)
     stats = np.sum([r["stats"] for r in counted.where("chunk IS NULL").select("stats").collect()], axis=0)  # one row a part
     words, starts = Words(int(stats[0]), int(stats[1]), stats[2:]), int(size[1])
-    replies = counted.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("replies"))
-    small = counted.agg(F.sum(F.octet_length("counts"))).first()[0] <= BROADCAST_BYTES
-    met = encoded.drop("ids").join(F.broadcast(replies) if small else replies, "chunk")
-    buckets = 1 << bits
-    dealt = _pairs(met, words, starts, buckets, hot_least).repartition(2 * buckets, "bucket")
-
-    def statistics(table: pa.Table) -> pa.Table:
-        keys, rows = [], []
-        if table.column("bucket")[0].as_py() < buckets:
-            b = Bucket(table.column("blob").to_pylist(), words)
-            sums = b.sums()[b.hot]
-            keys = [None, *b.history[b.hot].view(np.int64).tolist()]
-            rows = [[float((b.count == r).sum()) for r in range(1, TOP + 2)] + [0.0], *sums.tolist()]
-        return pa.table({"key": pa.array(keys, pa.int64()), "v": pa.array(rows, pa.list_(pa.float64()))})
-
-    width = TOP + 2
-    frequent = dealt.groupBy("bucket").applyInArrow(statistics, "key long, v array<double>").groupBy("key").agg(F.array(*[F.sum(F.col("v").getItem(i)) for i in range(width)]).alias("v"))
-    whole = frequent.agg(F.collect_list(F.struct("key", "v")).alias("stats"))  # at most 4 histories a bucket
-
-    def score(table: pa.Table) -> pa.Table:
-        chunks, blobs = table.column("chunk").to_pylist(), table.column("blob").to_pylist()
-        if table.column("bucket")[0].as_py() >= buckets:
-            return pa.table({"chunk": pa.array(chunks, pa.int64()), "own": pa.array([True] * len(chunks)), "blob": pa.array(blobs, pa.binary())})
-        given = {r["key"]: r["v"] for r in table.column("stats")[0].as_py()}
-        d = discounts(np.array(given[None][: TOP + 1]), KEPT)
-        b = Bucket(blobs, words)
-        sums = b.sums()
-        for k in np.flatnonzero(b.hot):
-            sums[k] = given[int(b.history[k].view(np.int64))]
-        scale, weight = history_weights(sums, d)
-        rate = d[np.minimum(b.count, TOP)] * (b.count <= TOP) + (b.count > TOP)
-        with np.errstate(divide="ignore"):
-            kept = np.log10(scale[b.of] * rate * b.count / np.maximum(sums[b.of, -1], 1))
-            value = np.where(b.kept, kept, np.log10(weight[b.of]) + np.log10(b.unigram))
-        out, at = [], 0
-        for n, (n_docs, doc, times) in zip(b.sizes, b.docs, strict=True):
-            each = np.repeat(value[b.place[at : at + n]], n_docs)
-            out.append(freeze(np.bincount(doc, weights=each * times)))
-            at += n
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "own": pa.array([False] * len(chunks)), "blob": pa.array(out, pa.binary())})
-
-    scored = dealt.crossJoin(F.broadcast(whole)).groupBy("bucket").applyInArrow(score, "chunk long, own boolean, blob binary")
-    none = F.lit(None)
-    parts = scored.select("chunk", "own", "blob", none.cast("array<long>").alias("ids"), none.cast("binary").alias("train"), none.cast("binary").alias("lengths"))
-    parts = parts.union(encoded.select("chunk", none.cast("boolean"), none.cast("binary"), "ids", "train", "lengths"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_pylist()
-        doc = own.index(None)
-        ids = table.column("ids")[doc].as_py()
-        train, lengths = (np.frombuffer(table.column(c)[doc].as_py(), dtype=t) for c, t in (("train", np.uint8), ("lengths", np.uint32)))
-        base, known = thaw(table.column("blob")[own.index(True)].as_py())
-        total = np.zeros(len(ids))
-        for mine, blob in zip(own, table.column("blob"), strict=True):
-            if mine is False:
-                (part,) = thaw(blob.as_py())
-                total[: len(part)] += part
+    replies = of_words = counted.where("chunk IS NOT NULL").select("chunk", "part", F.lit(1).alias("level"), F.col("counts").alias("blob"))
+    for level in range(2, order + 1):
+        before, replies = replies, answer_grams(deal_grams(encoded, replies, level, words, starts, 1 << bits, hot_least), level)
+        if level > 2:
+            discard(before)
+
+    def gather(mine: pa.Table, given: pa.Table) -> pa.Table:
+        train, lengths, hashes, tokens = _open(mine, 0)
+        counts, grams = _word_counts(given, hashes), Grams(lengths, tokens, hashes, order)
+        doc, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+        add = lambda x: np.bincount(doc, weights=x, minlength=n)
+        value = np.log10(_replies(given, grams.size)[0])
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(train == 0), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-                "train_tokens": pa.array(np.full(len(ids), words.total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(total),
+                "doc_id": pa.array(mine.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(train == 0), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(add((counts > 0)[tokens]).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, words.total, dtype=np.int64)), "base_score": pa.array(add(words.base(counts)[tokens])), "score": pa.array(add(value[grams.place])),
             }
         )
 
-    return parts.groupBy("chunk").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return encoded.groupBy("chunk").cogroup(of_words.union(replies).groupBy("chunk")).applyInArrow(gather, SCORES)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
