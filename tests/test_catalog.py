@@ -40,12 +40,12 @@ def test_single_track_filter_reaches_the_scan(spark, sf_dir, tmp_path):
 
 
 def test_nearest_keys_of_all_tracks(spark, sf_dir):
-    rows = catalog.QUERIES["nearest_key_all_tracks"](spark, sf_dir).groupBy("clip_id").agg({"track_index": "max"}).collect()
+    rows = catalog.QUERIES["nearest_key"](spark, sf_dir).groupBy("clip_id").agg({"track_index": "max"}).collect()
     assert rows and all(r[1] == 63 for r in rows)
 
 
 def test_missing_frames_of_all_tracks(spark, sf_dir):
-    rows = catalog.QUERIES["sample_with_missing_frames_all_tracks"](spark, sf_dir).groupBy("clip_id").agg({"track_index": "max"}).collect()
+    rows = catalog.QUERIES["sample_with_missing_frames"](spark, sf_dir).groupBy("clip_id").agg({"track_index": "max"}).collect()
     assert rows and all(r[1] == 63 for r in rows)
-    sql = catalog.ORACLE_SQL["sample_with_missing_frames_all_tracks"]
+    sql = catalog.ORACLE_SQL["sample_with_missing_frames"]
     assert "range(4096)" not in sql and "unnest(range(ks))" in sql and "unnest(range(s0, s0 + sz))" in sql

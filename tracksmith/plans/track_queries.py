@@ -140,17 +140,9 @@ def sample_float4(spark, sf_dir):
     "nearest_key",
     f"""WITH {T1C} SELECT k.clip_id, k.request_id, t.track_index, t.v AS v
         FROM (SELECT clip_id, CAST(i AS INT) AS request_id, least(CAST(floor(i * d / 99 * 30.0::DOUBLE + 0.5) AS INT), n - 1) AS s FROM clips, range({GRID}) r(i)) k
-        JOIN t1 t ON t.clip_id = k.clip_id AND t.sample_index = k.s WHERE t.track_index < 4""",
+        JOIN t1 t ON t.clip_id = k.clip_id AND t.sample_index = k.s""",
 )
 def nearest_key(spark, sf_dir):
-    grid = sampling.time_grid(clips_of(spark, sf_dir), GRID)
-    keyed = grid.withColumn("sample_index", tl.nearest_key(F.col("num_samples"), F.col("sample_rate"), F.col("time")))
-    few = views.embedding_tracks(spark, sf_dir).where("track_index < 4")
-    return keyed.join(few, ["clip_id", "sample_index"]).select("clip_id", "request_id", "track_index", "v")
-
-
-@add("nearest_key_all_tracks", ORACLE_SQL["nearest_key"].replace(" WHERE t.track_index < 4", ""))
-def nearest_key_all(spark, sf_dir):
     grid = sampling.time_grid(clips_of(spark, sf_dir), GRID)
     keyed = grid.withColumn("sample_index", tl.nearest_key(F.col("num_samples"), F.col("sample_rate"), F.col("time")))
     return keyed.join(views.embedding_tracks(spark, sf_dir), ["clip_id", "sample_index"]).select("clip_id", "request_id", "track_index", "v")
@@ -159,13 +151,13 @@ def nearest_key_all(spark, sf_dir):
 _KEPT = "(k = s0 OR k = s0 + sz - 1 OR (k - s0) % 3 <> 1)"
 _SEGS = """seg AS (SELECT clip_id, n, CASE WHEN n <= 31 THEN 1 WHEN n = 32 THEN 2 ELSE CAST(ceil(n / 16.0) AS INT) - 1 END AS ks FROM clips),
   segs AS (SELECT clip_id, n, CAST(i AS INT) AS sg, CAST(n // ks + (CASE WHEN i < n % ks THEN 1 ELSE 0 END) AS INT) AS sz,
-           CAST(i * (n // ks) + least(i, n % ks) AS INT) AS s0 FROM seg, range(64) r(i) WHERE i < ks)"""
+           CAST(i * (n // ks) + least(i, n % ks) AS INT) AS s0 FROM seg, unnest(range(ks)) r(i))"""
 
 
 @add(
     "sample_with_missing_frames",
     f"""WITH {T1C}, {_SEGS},
-    f AS (SELECT clip_id, sg, s0, sz, CAST(k AS INT) AS k, {_KEPT} AS kept FROM segs, range(4096) r(k) WHERE k >= s0 AND k < s0 + sz),
+    f AS (SELECT clip_id, sg, s0, sz, CAST(k AS INT) AS k, {_KEPT} AS kept FROM segs, unnest(range(s0, s0 + sz)) r(k)),
     nb AS (SELECT clip_id, k, max(CASE WHEN kept THEN k END) OVER (PARTITION BY clip_id, sg ORDER BY k) AS b,
            min(CASE WHEN kept THEN k END) OVER (PARTITION BY clip_id, sg ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM f),
     q AS (SELECT clip_id, n, CAST(i AS INT) AS request_id, i * d / 99 * 30.0::DOUBLE AS x FROM clips, range({GRID}) r(i)),
@@ -173,29 +165,16 @@ _SEGS = """seg AS (SELECT clip_id, n, CASE WHEN n <= 31 THEN 1 WHEN n = 32 THEN
     z AS (SELECT s.clip_id, request_id, k0 + (CASE WHEN k0 = k1 THEN 0.0 ELSE x - k0 END) AS idx, p.b AS k0, r.a AS k1 FROM s JOIN nb p ON p.clip_id = s.clip_id AND p.k = s.k0 JOIN nb r ON r.clip_id = s.clip_id AND r.k = s.k1),
     w AS (SELECT *, CASE WHEN k0 = k1 THEN 0.0 WHEN k0 < k1 THEN (idx - k0) / (k1 - k0) ELSE idx - k0 END AS al FROM z)
     SELECT w.clip_id, request_id, x.track_index, round((x.v - al * x.v) + al * y.v, 6) AS v FROM w JOIN t1 x ON x.clip_id = w.clip_id AND x.sample_index = w.k0
-      JOIN t1 y ON y.clip_id = w.clip_id AND y.sample_index = w.k1 AND y.track_index = x.track_index WHERE x.track_index < 8""",
+      JOIN t1 y ON y.clip_id = w.clip_id AND y.sample_index = w.k1 AND y.track_index = x.track_index""",
 )
 def sample_missing(spark, sf_dir):
-    return _missing(spark, sf_dir, views.embedding_tracks(spark, sf_dir).where("track_index < 8"))
-
-
-# all tracks, with segments and frames from each clip's own length
-_WHOLE_MISSING = ORACLE_SQL["sample_with_missing_frames"].replace(" WHERE x.track_index < 8", "").replace("range(64) r(i) WHERE i < ks", "unnest(range(ks)) r(i)").replace("range(4096) r(k) WHERE k >= s0 AND k < s0 + sz", "unnest(range(s0, s0 + sz)) r(k)")
-
-
-@add("sample_with_missing_frames_all_tracks", _WHOLE_MISSING)
-def sample_missing_all(spark, sf_dir):
-    return _missing(spark, sf_dir, views.embedding_tracks(spark, sf_dir))
-
-
-def _missing(spark, sf_dir, tracks: DataFrame) -> DataFrame:
     clips = clips_of(spark, sf_dir)
     table = segments.segment_table(clips).withColumn("sample_index", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
     k = F.col("sample_index") - F.col("start")
     table = table.withColumn("kept", (k == 0) | (k == F.col("size") - 1) | (k % 3 != 1))
     sought = sampling.seek(sampling.time_grid(clips, GRID)).select("clip_id", "request_id", "key0", "key1", "alpha")
     moved = sampling.seek_retained(sought, sampling.retained_neighbours(table))
-    return r6(sampling.sample(tracks, moved), "v")
+    return r6(sampling.sample(views.embedding_tracks(spark, sf_dir), moved), "v")
 
 
 @add(
