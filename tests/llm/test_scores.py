@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,6 +131,27 @@ def test_katz_without_training_rows(spark, no_docs):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
 
 
+def test_katz_exchanges_few_bytes_a_token(spark):
+    """Four times the input is 15 bytes a token of the check tables: what is exchanged stays below that."""
+    rng = np.random.default_rng(5)
+    given = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 2_000) % 50_000), "en", "s") for i in range(150)]
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f: f.stat().st_size for d in disk.localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    docs, before = documents(spark, given), files()
+    got = katz.score_corpus(docs, chunk_tokens=60_000).collect()
+    assert len(got) == 150 and sum(n for f, n in files().items() if f not in before) < 15 * sum(r.n_tokens for r in got)
+
+
+def test_katz_blobs_and_trees_keep_all():
+    rng = np.random.default_rng(3)
+    arrays = [rng.random(50), rng.integers(0, 9, 5_000) / 7, np.zeros(0), np.zeros(0, np.uint32), rng.integers(0, 1 << 63, 70).astype(np.uint64), np.array([5], dtype=np.int64), rng.integers(0, 2, 99).astype(np.uint8)]
+    back = katz.thaw(katz.freeze(*arrays))
+    assert [a.dtype for a in back] == [a.dtype for a in arrays] and all((a == b).all() for a, b in zip(back, arrays, strict=True))
+    for rows_, width in ((1, 2), (4_000, 2), (4_000, 3), (300, 5)):
+        table = np.unique(rng.zipf(1.5, (rows_, width)) % (1 << 32), axis=0)
+        assert (np.stack(katz.from_tree(katz.to_tree(list(table.T))), axis=1) == table).all()
+
+
 # --- licences ---------------------------------------------------------------------------------
 
 
