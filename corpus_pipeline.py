@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracksmith.llm.common import materialize
+from tracksmith.llm.common import materialize, small_batches
 from tracksmith.llm.exact import DigestIndex, buckets_for, deduplicate, digest_column
 from tracksmith.llm.mixing import mix_documents
 from tracksmith.llm.packing import TOKENIZER, pack_documents
@@ -62,7 +62,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at similarity 0.8 on five-word shingles stays: the smallest doc_id."""
-    gone = materialize(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
+    with small_batches(spark):
+        gone = materialize(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "gone")
     return without(docs, gone, docs["doc_id"] == gone["_id"])
 
 
@@ -78,7 +79,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=250_000)
+    with small_batches(spark):
+        return pack_documents(docs, public_tokenizers.path(TOKENIZER), memory=250_000)
 
 
 STAGES = [

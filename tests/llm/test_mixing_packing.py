@@ -185,6 +185,28 @@ def test_pipeline_stages(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_pipeline_hands_texts_to_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    from tracksmith.llm import simhash
+    from tracksmith.llm.common import materialize
+
+    key, rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    docs = materialize(documents(spark), "docs")
+
+    def watched(df, name):
+        rows_a_batch.append(int(spark.conf.get(key)))
+        return materialize(df, name)
+
+    for module in (simhash, packing):
+        monkeypatch.setattr(module, "materialize", watched)
+    before = spark.conf.get(key)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.packing):
+        rows_a_batch.clear()
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+        assert rows_a_batch and max(rows_a_batch) <= 1_000 and spark.conf.get(key) == before
+
+
 def test_permutation_never_leaves_its_range(spark):
     at = spark.range(33).select(mixing.permuted(F.col("id"), F.lit(33).cast("long"), F.lit(1)).alias("x"))
     assert sorted(r.x for r in at.collect()) == list(range(33))

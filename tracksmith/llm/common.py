@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +55,22 @@ def discard(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is written meanwhile goes to Python in batches of at most ``rows`` rows.
+
+    Spark's own 10,000 whole texts are held at once by a task in the executor and again in its
+    worker, which keeps that memory for all later tasks. Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8; null has none.
 
