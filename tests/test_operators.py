@@ -225,3 +225,27 @@ def test_compressed_clips_are_written_read_and_checked(spark, sf_dir, tmp_path):
     assert met.count() == samples.count() and met.where("abs(lossy - v) > 0.05").count() == 0
     plan = storage.to_samples(storage.only_track(back, 2))._jdf.queryExecution().toString()
     assert "EqualTo(track_index,2)" in plan
+
+
+@pytest.mark.parametrize("medium,low", [(0.0, 0.5)])
+def test_tiers_are_ranks_over_any_partitions(spark, medium, low):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        frames = spark.range(60_000).select(
+            (F.col("id") % 3).alias("clip_id"), F.floor(F.col("id") / 48).cast("int").alias("segment_index"), F.floor(F.col("id") / 3).cast("int").alias("sample_index"),
+            (F.floor(F.col("id") / 3) % 16).cast("int").alias("position"),
+            F.when(F.col("id") % 17 < 3, 0.25).when(F.col("id") % 48 > 44, float("inf")).otherwise((F.xxhash64("id") % 100_003) / 7.0).alias("error"),
+        ).withColumn("movable", F.col("error") < float("inf"))
+        settings = model.DatabaseSettings(medium_importance_tier_proportion=medium, low_importance_tier_proportion=low)
+        got = {(r.clip_id, r.sample_index): r.tier for r in tiers.assign_tiers(frames, settings).collect()}
+        rows = frames.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = sorted((r for r in rows if r.movable), key=lambda r: (r.error, r.clip_id, -r.segment_index, r.position))
+    n = int(low * len(rows)), int(low * len(rows)) + int(medium * len(rows))
+    want = {(r.clip_id, r.sample_index): "low" if k < n[0] else "medium" if k < n[1] else "high" for k, r in enumerate(order)}
+    assert len(got) == len(rows) and all(tier == want.get(key, "high") for key, tier in got.items())
