@@ -227,7 +227,7 @@ def test_compressed_clips_are_written_read_and_checked(spark, sf_dir, tmp_path):
     assert "EqualTo(track_index,2)" in plan
 
 
-@pytest.mark.parametrize("medium,low", [(0.0, 0.5)])
+@pytest.mark.parametrize("medium,low", [(0.0, 0.5), (0.3, 0.4)])
 def test_tiers_are_ranks_over_any_partitions(spark, medium, low):
     conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
     before = {k: spark.conf.get(k) for k in conf}
