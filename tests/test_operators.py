@@ -249,3 +249,22 @@ def test_tiers_are_ranks_over_any_partitions(spark, medium, low):
     n = int(low * len(rows)), int(low * len(rows)) + int(medium * len(rows))
     want = {(r.clip_id, r.sample_index): "low" if k < n[0] else "medium" if k < n[1] else "high" for k, r in enumerate(order)}
     assert len(got) == len(rows) and all(tier == want.get(key, "high") for key, tier in got.items())
+
+
+def test_tier_masks_hold_every_frame_once(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        frames = spark.range(60_000).select(
+            (F.col("id") % 3).alias("clip_id"), F.floor(F.col("id") / 48).cast("int").alias("segment_index"), F.floor(F.col("id") / 3).cast("int").alias("sample_index"),
+            (F.floor(F.col("id") / 3) % 16).cast("int").alias("position"), (F.xxhash64("id") % 1_000_003).cast("double").alias("error"), F.lit(True).alias("movable"),
+        )
+        starts = frames.groupBy("clip_id", "segment_index").agg(F.min("sample_index").alias("start"))
+        assigned = tiers.assign_tiers(frames, model.DatabaseSettings(medium_importance_tier_proportion=0.3, low_importance_tier_proportion=0.4))
+        masks = tiers.sample_masks(assigned, starts).groupBy("tier").agg(F.sum(F.bit_count("mask"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert dict(map(tuple, masks)) == {"low": 24_000, "medium": 18_000, "high": 18_000}
