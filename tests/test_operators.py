@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracksmith import model
-from tracksmith.operators import keyframes, scalar, tiers, transform
+from tracksmith.operators import keyframes, reports, scalar, tiers, transform
 from tracksmith.plans.pose_queries import _classes
 from tracksmith.plans.report_queries import segmented
 from tracksmith.sources import sjson
@@ -268,3 +268,24 @@ def test_tier_masks_hold_every_frame_once(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert dict(map(tuple, masks)) == {"low": 24_000, "medium": 18_000, "high": 18_000}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_percentiles_are_exact_and_do_not_collect_a_group_in_a_task(spark, by):
+    value = F.when(F.col("id") % 5 == 0, 0.0).when(F.col("id") % 1000 == 1, None).otherwise(F.abs(F.xxhash64("id") % 1_000_003) / 7.0)
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), value.alias("v"))
+    points = [i / 1000 for i in range(1001)]
+    out = reports.percentiles(df, "v", points, by)
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.g if by else 0, r.point): r.value for r in out.collect()}
+    rows = df.where("v IS NOT NULL").toPandas()
+    for g in range(3) if by else [0]:
+        values = rows["v"][rows["g"] == g] if by else rows["v"]
+        assert np.allclose([got[g, p] for p in points], np.quantile(values, points), rtol=1e-12)
+    assert len(got) == (3003 if by else 1001)
+
+
+def test_percentiles_of_few_values(spark):
+    df = spark.createDataFrame([(2.0,), (1.0,), (None,)], "v double")
+    assert sorted(map(tuple, reports.percentiles(df, "v", [0.0, 0.25, 1.0]).collect())) == [(0.0, 1.0), (0.25, 1.25), (1.0, 2.0)]
+    assert reports.percentiles(df.where("false"), "v", [0.5]).collect() == []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.model import BIT_RATES
+from tracksmith.operators import buckets
 
 
 def by_type(runs: DataFrame) -> DataFrame:
@@ -39,10 +40,29 @@ def best_worst(runs: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, points: Sequence[float], by: list[str] | None = None) -> DataFrame:
-    """(point, value) by linear interpolation, exactly."""
-    got = df.groupBy(*(by or [])).agg(F.percentile(value, F.array(*[F.lit(p) for p in points])).alias("_p"))
-    at = F.array(*[F.lit(float(p)) for p in points])
-    return got.select(*(by or []), F.posexplode("_p").alias("_i", "value"), at.alias("_at")).select(*(by or []), F.element_at("_at", F.col("_i") + 1).alias("point"), "value")
+    """(point, value) by linear interpolation, exactly.
+
+    Values are counted in buckets; only buckets that hold a rank asked for are sorted, each by itself.
+    """
+    by, v = by or [], F.col(value)
+    rows = df.where(v.isNotNull()).select(*by, v.cast("double").alias("_v"))
+    total, found = rows.agg(F.count("*"), buckets.points(F.col("_v"))).first()
+    rows = rows.withColumn("_part", buckets.part(F.col("_v"), *buckets.bounds(found, total)))
+    counts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), (F.sum("_n").over(group) - 1).alias("_last"))
+    at = spans.select("*", F.posexplode(F.lit([float(p) for p in points])).alias("_i", "point")).withColumn("_x", F.col("point") * F.col("_last"))
+    ends = at.select("*", F.explode(F.array(F.floor("_x"), F.ceil("_x"))).alias("_k"), (F.col("_x") - F.floor("_x")).alias("_share")).distinct()
+    ends = ends.where("_k >= _before AND _k < _before + _n").withColumn("_place", F.col("_k") - F.col("_before") + 1)
+    even = F.col("_least") == F.col("_most")
+    sought = ends.where(~even).select(*by, "_part", "_i", "point", "_k", "_share", "_place")
+    local = Window.partitionBy(*by, "_part").orderBy("_v")
+    held = rows.join(F.broadcast(sought.select(*by, "_part").distinct()), [*by, "_part"], "left_semi").withColumn("_place", F.row_number().over(local).cast("long"))
+    keep = [*by, "_i", "point", "_k", "_share", "_v"]
+    met = held.join(F.broadcast(sought), [*by, "_part", "_place"]).select(*keep).union(ends.where(even).withColumn("_v", F.col("_least")).select(*keep))
+    low, high = F.min_by("_v", "_k"), F.max_by("_v", "_k")
+    return met.groupBy(*by, "_i", "point").agg((low + F.max("_share") * (high - low)).alias("value")).select(*by, "point", "value")
 
 
 def percentile_rank(df: DataFrame, value: str, at: float, by: list[str] | None = None) -> DataFrame:

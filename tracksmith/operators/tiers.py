@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracksmith.model import DatabaseSettings
+from tracksmith.operators import buckets
 
 TIERS = ("high", "medium", "low")
 CHUNKS = "tier string, clip_id long, segment_index int, bytes long, chunk int, offset long"
 HEADER, PADDING = 16, 15
-BUCKETS, BUCKET_ROWS = 256, 10_000
 
 
 class TierError(ValueError):
@@ -25,18 +23,16 @@ def assign_tiers(ranked: DataFrame, settings: DatabaseSettings) -> DataFrame:
 
     Over all clips the frame of least error goes first, a clip's frames in their own order; the
     low tier takes its share of all frames, then the medium one, both from movable frames only.
-    The order is found in buckets of the error: their bounds are taken once and then are literals, so
-    that a frame's bucket depends on its row alone, however often and over whatever partitions the
-    buckets are counted and sorted. A frequent error is a bucket of its own a clip. Ranks are the
-    counts of the buckets before and the place inside, so no task orders all frames.
+    The order is found in buckets of the error; a frequent error is a bucket of its own a clip. Ranks
+    are the counts of the buckets before and the place inside, so no task orders all frames.
     """
     settings.validate()
     error = F.col("error")
-    points = F.percentile_approx(F.when(F.col("movable"), error), [i / BUCKETS for i in range(1, BUCKETS)])
-    total, movable, found = ranked.agg(F.count("*"), F.count_if("movable"), points).first()
+    total, movable, found = ranked.agg(F.count("*"), F.count_if("movable"), buckets.points(F.when(F.col("movable"), error))).first()
+    bounds, often = buckets.bounds(found, movable)
     low = min(movable, int(settings.low_importance_tier_proportion * total))
     medium = min(movable - low, int(settings.medium_importance_tier_proportion * total))
-    parts = ranked.where("movable").withColumns(_buckets(error, found or [], movable))
+    parts = ranked.where("movable").withColumns({"_part": buckets.part(error, bounds, often), "_clip": F.when(buckets.is_often(error, often), F.col("clip_id")).otherwise(0)})
     local = Window.partitionBy("_part", "_clip").orderBy("error", "clip_id", F.desc("segment_index"), "position")
     parts = parts.withColumn("_local", F.row_number().over(local))
     counts = parts.groupBy("_part", "_clip").agg(F.count("*").alias("_n"))
@@ -48,20 +44,6 @@ def assign_tiers(ranked: DataFrame, settings: DatabaseSettings) -> DataFrame:
     return placed.withColumn("tier", tier).select(*keep).union(ranked.where("NOT movable").withColumn("tier", F.lit("high")).select(*keep))
 
 
-def _buckets(error: Column, points: list[float], rows: int) -> dict[str, Column]:
-    """_part and _clip, which order buckets as their errors; ``points`` are percentiles of ``rows`` errors.
-
-    Bounds are as many as leave BUCKET_ROWS a bucket. Part 2k lies at the k-th bound, 2k + 1 between
-    it and the next; only errors that hold several points have parts of their own, split by clip.
-    """
-    step = max(1, -(-BUCKETS * BUCKET_ROWS // max(1, rows)))
-    often = sorted({a for a, b in pairwise(points) if a == b})
-    bounds = sorted({*points[step - 1 :: step], *often})
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b <= error))
-    own = F.array_contains(F.array(*map(F.lit, often)).cast("array<double>"), error)
-    return {"_part": below * 2 + F.when(own, 0).otherwise(1), "_clip": F.when(own, F.col("clip_id")).otherwise(F.lit(0))}
-
-
 def sample_masks(assigned: DataFrame, starts: DataFrame) -> DataFrame:
     """(clip_id, segment_index, tier, mask): frames of a segment in a tier as bits from the highest of 32."""
     met = assigned.join(starts.select("clip_id", "segment_index", "start"), ["clip_id", "segment_index"])
