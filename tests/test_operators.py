@@ -289,3 +289,10 @@ def test_percentiles_of_few_values(spark):
     df = spark.createDataFrame([(2.0,), (1.0,), (None,)], "v double")
     assert sorted(map(tuple, reports.percentiles(df, "v", [0.0, 0.25, 1.0]).collect())) == [(0.0, 1.0), (0.25, 1.25), (1.0, 2.0)]
     assert reports.percentiles(df.where("false"), "v", [0.5]).collect() == []
+
+
+@pytest.mark.parametrize("name", ["full_error_curve", "error_curve_tail", "error_percentiles"])
+def test_error_curves_are_ranks_in_buckets(spark, sf_dir, name):
+    from tracksmith.plans import catalog
+
+    assert "percentile(" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
