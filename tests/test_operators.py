@@ -296,3 +296,55 @@ def test_error_curves_are_ranks_in_buckets(spark, sf_dir, name):
     from tracksmith.plans import catalog
 
     assert "percentile(" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def many_segments(spark, sf_dir, segments):
+    """The first 16 poses of a clip as so many segments, each a little apart."""
+    from tracksmith.sources import views
+
+    one = views.embedding_poses(spark, sf_dir).where("clip_id = 1 AND sample_index < 16")
+    copies = spark.range(segments).select(F.col("id").cast("int").alias("segment_index"))
+    moved = one.crossJoin(F.broadcast(copies)).withColumn("t", F.transform("t", lambda x: x * (1.0 + F.col("segment_index") / 1000.0)))
+    return moved.withColumn("sample_index", F.col("sample_index") + F.col("segment_index") * 16).cache()
+
+
+def plain_removal_order(n, error_of):
+    """One frame after the other."""
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    cost = {k: error_of(k - 1, k, k + 1) for k in range(1, n - 1)}
+    order = []
+    while cost:
+        k = min(cost, key=lambda i: (cost[i], i))
+        order.append((k, cost.pop(k)))
+        a, b = before[k], after[k]
+        after[a], before[b] = b, a
+        for j in {a, b} & set(cost):
+            cost[j] = error_of(before[j], j, after[j])
+    return order + [(k, keyframes.INFINITE) for k in sorted({0, n - 1}) if n]
+
+
+def test_removal_orders_of_many_lists_equal_one_by_one():
+    rng = random.Random(5)
+    lists = [[rng.choice([0, 1, 2, 5, 9]) for _ in range(n)] for n in (0, 1, 2, 3, 16, 17, 31)]
+
+    def of(values):
+        return lambda a, k, b: max(abs(values[i] - (values[a] + (values[b] - values[a]) * (i - a) / (b - a))) for i in range(a + 1, b))
+
+    frames, errors = keyframes.removal_orders(np.array([len(x) for x in lists]), lambda *tasks: np.array([of(lists[s])(a, k, b) for s, a, k, b in zip(*tasks, strict=True)]))
+    for i, values in enumerate(lists):
+        got = [(int(k), float(e)) for k, e in zip(frames[i], errors[i], strict=True) if k >= 0]
+        assert got == plain_removal_order(len(values), of(values))
+
+
+def test_keyframes_of_many_segments_are_ranked_together(spark, sf_dir, monkeypatch):
+    from tracksmith.operators import rigid
+
+    poses, calls, kept = many_segments(spark, sf_dir, 40), [], rigid.error
+    monkeypatch.setattr(rigid, "error", lambda *x: calls.append(1) or kept(*x))
+    held = {}
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, f, schema: held.setdefault("f", f))
+    keyframes.contributing_error(poses)
+    pdf = poses.selectExpr("clip_id", "segment_index", "sample_index", "bone", "parent", *[f"{c}[{i}] AS {c}{i}" for c, n in (("q", 4), ("t", 3), ("s", 3)) for i in range(n)]).toPandas()
+    out = held["f"](pdf)
+    assert len(out) == 640 and out.groupby("segment_index")["position"].apply(list).map(lambda x: x == list(range(16))).all()
+    assert len(calls) <= 15

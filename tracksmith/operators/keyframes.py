@@ -1,7 +1,7 @@
 """How much keyframes matter: contributing error, clip-wide stripping order, stripping.
 
-Removing a keyframe changes its neighbours, so ranking inside a segment is sequential; a
-segment has at most 32 frames and is one numpy group. Merging the segments' orders is set-based:
+Removing a keyframe changes its neighbours, so ranking inside a segment is sequential; the
+segments of a block take each step at once in numpy. Merging the segments' orders is set-based:
 repeatedly taking the least head of several lists sorts by the running maximum in each.
 """
 
@@ -20,55 +20,78 @@ INFINITE = float("inf")
 RANKED = "clip_id long, segment_index int, sample_index int, position int, error double, movable boolean"
 
 
-def removal_order(n: int, error_of: Callable[[int, int, int], float]) -> list[tuple[int, float]]:
-    """(frame, error) in the order of removal; the first and last frame come last, at infinity.
+def removal_orders(sizes: np.ndarray, errors_of: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, errors), a row a list of ``sizes`` frames, in the order of removal; the first and last
+    frame come last, at infinity. All lists take a step at once.
 
-    ``error_of(a, k, b)`` is the worst error of the frames between the retained a and b if k,
-    between them, goes too.
+    ``errors_of(lists, a, k, b)`` are the worst errors of the frames between the retained a and b if
+    k, between them, goes too. Places past a list's size hold -1.
     """
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    cost = {k: error_of(k - 1, k, k + 1) for k in range(1, n - 1)}
-    order = []
-    while cost:
-        k = min(cost, key=lambda i: (cost[i], i))
-        order.append((k, cost.pop(k)))
-        a, b = before[k], after[k]
-        after[a], before[b] = b, a
-        for j in (a, b):
-            if j in cost:
-                cost[j] = error_of(before[j], j, after[j])
-    return order + [(k, INFINITE) for k in sorted({0, n - 1}) if n]
+    lists, most = np.arange(len(sizes)), int(sizes.max(initial=0))
+    places = np.arange(most)
+    before, after = np.tile(places - 1, (len(lists), 1)), np.tile(places + 1, (len(lists), 1))
+    kept = (places >= 1) & (places < sizes[:, None] - 1)
+    cost = np.full(kept.shape, INFINITE)
+    s, k = np.nonzero(kept)
+    if len(s):
+        cost[s, k] = errors_of(s, k - 1, k, k + 1)
+    frames, errors = np.full(kept.shape, -1), np.full(kept.shape, INFINITE)
+    for place in range(most - 2):
+        s = lists[kept.any(1)]
+        k = np.where(kept[s], cost[s], INFINITE).argmin(1)
+        frames[s, place], errors[s, place] = k, cost[s, k]
+        kept[s, k] = False
+        a, b = before[s, k], after[s, k]
+        after[s, a], before[s, b] = b, a
+        s, k = np.concatenate([s, s]), np.concatenate([a, b])
+        s, k = s[kept[s, k]], k[kept[s, k]]
+        if len(s):
+            cost[s, k] = errors_of(s, before[s, k], k, after[s, k])
+    for i, n in enumerate(sizes):
+        ends = sorted({0, n - 1}) if n else []
+        frames[i, n - len(ends) : n] = ends
+    return frames, errors
+
+
+def removal_order(n: int, error_of: Callable[[int, int, int], float]) -> list[tuple[int, float]]:
+    """:func:`removal_orders` of one list, as (frame, error)."""
+    frames, errors = removal_orders(np.array([n]), lambda _, *ends: np.array([error_of(*map(int, e)) for e in zip(*ends, strict=True)]))
+    return [(int(k), float(e)) for k, e in zip(frames[0], errors[0], strict=True)]
 
 
 def contributing_error(poses: DataFrame, shell: float = 3.0) -> DataFrame:
     """Ranks the frames of each segment of poses (…, segment_index, sample_index, bone, parent, q, t, s)."""
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sample_index", "bone"])
-        frames = pdf["sample_index"].unique()
-        bones = pdf["bone"].nunique()
-        parents = pdf["parent"].to_numpy()[:bones]
-        local = rigid.stack(pdf, len(frames), bones)
-        whole = rigid.to_object(local, parents)
-
-        def error_of(a: int, k: int, b: int) -> float:
-            inner = np.arange(a + 1, b)
-            between = rigid.blend(rigid.take(local, [a]), rigid.take(local, [b]), ((inner - a) / (b - a))[:, None])
-            return float(rigid.error(rigid.take(whole, inner), rigid.to_object(between, parents), shell).max())
-
-        order = removal_order(len(frames), error_of)
+        block = rigid.Block(pdf)
+        local, whole = block.pose, rigid.to_object(block.pose, block.parents)
+
+        def errors_of(s: np.ndarray, a: np.ndarray, k: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The frames between of all tasks are one array."""
+            n, first = b - a - 1, block.starts[s]
+            ends = np.cumsum(n)
+            task = np.repeat(np.arange(len(n)), n)
+            inner = a[task] + 1 + np.arange(ends[-1]) - (ends - n)[task]
+            alpha = (inner - a[task]) / (b - a)[task]
+            between = rigid.blend(rigid.take(local, (first + a)[task]), rigid.take(local, (first + b)[task]), alpha[:, None])
+            error = rigid.error(rigid.take(whole, first[task] + inner), rigid.to_object(between, block.parents), shell)
+            return np.maximum.reduceat(error.max(1), ends - n)
+
+        frames, errors = removal_orders(block.sizes, errors_of)
+        s, place = np.nonzero(frames >= 0)
+        k, error = frames[s, place], errors[s, place]
         return pd.DataFrame(
             {
-                "clip_id": pdf["clip_id"].iloc[0],
-                "segment_index": pdf["segment_index"].iloc[0],
-                "sample_index": [int(frames[k]) for k, _ in order],
-                "position": range(len(order)),
-                "error": [e for _, e in order],
-                "movable": [e != INFINITE for _, e in order],
+                "clip_id": block.clip_id,
+                "segment_index": block.segments[s],
+                "sample_index": block.samples[block.starts[s] + k],
+                "position": place,
+                "error": error,
+                "movable": error != INFINITE,
             }
         )
 
-    return poses.groupBy("clip_id", "segment_index").applyInPandas(rank, RANKED)
+    return rigid.in_blocks(poses).applyInPandas(rank, RANKED)
 
 
 def proxy_error(frames: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
+
+SEGMENTS = 64  # a block
+PARTS = [*(f"q{i}" for i in range(4)), *(f"t{i}" for i in range(3)), *(f"s{i}" for i in range(3))]
 
 
 class Pose(NamedTuple):
@@ -19,6 +24,33 @@ def stack(pdf: pd.DataFrame, frames: int, bones: int) -> Pose:
     return Pose(*[np.stack(pdf[c].to_numpy()).reshape(frames, bones, -1).astype(float) for c in "qts"])
 
 
+def in_blocks(poses: DataFrame, *more: str) -> GroupedData:
+    """Poses (…, segment_index, …) grouped into runs of segments of a clip, with a column a component.
+
+    The number of partitions is fixed: these rows are few bytes for the work they make.
+    """
+    parts = [F.col(c[0]).getItem(int(c[1])).alias(c) for c in PARTS]
+    block = F.floor(F.col("segment_index") / SEGMENTS).alias("_block")
+    rows = poses.select("clip_id", block, "segment_index", "sample_index", "bone", "parent", *parts, *more)
+    spread = max(int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")), poses.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(spread, "clip_id", "_block").groupBy("clip_id", "_block")
+
+
+class Block:
+    """The segments of one group of :func:`in_blocks`: frames one after the other, each with all bones."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.pdf = pdf.sort_values(["segment_index", "sample_index", "bone"])
+        self.bones = self.pdf["bone"].nunique()
+        frames = self.pdf.iloc[:: self.bones]
+        self.clip_id = frames["clip_id"].iloc[0]
+        self.parents = [None if pd.isna(p) else int(p) for p in self.pdf["parent"].to_numpy()[: self.bones]]
+        self.samples = frames["sample_index"].to_numpy()
+        self.segments, self.starts, self.sizes = np.unique(frames["segment_index"].to_numpy(), return_index=True, return_counts=True)
+        values = self.pdf[PARTS].to_numpy(float).reshape(len(frames), self.bones, 10)
+        self.pose = Pose(values[..., :4], values[..., 4:7], values[..., 7:])
+
+
 def take(x: Pose, frames) -> Pose:
     return Pose(*[a[frames] for a in x])
 
