@@ -348,3 +348,54 @@ def test_keyframes_of_many_segments_are_ranked_together(spark, sf_dir, monkeypat
     out = held["f"](pdf)
     assert len(out) == 640 and out.groupby("segment_index")["position"].apply(list).map(lambda x: x == list(range(16))).all()
     assert len(calls) <= 15
+
+
+def searched_alone(pdf, precision):
+    """The rates of a segment by the definition: one step after the other, every candidate tried in turn."""
+    from tracksmith.operators import rigid
+
+    block = rigid.Block(pdf)
+    kinds = pdf.sort_values(["sample_index", "bone"])[list(transform.SUBS)].to_numpy()[: block.bones]
+    one = transform.BlockSearch(block.pose, block.sizes, block.parents, kinds, precision, 3.0)
+    raw = rigid.Pose(block.pose.q * np.where(block.pose.q[..., 3:] < 0, -1.0, 1.0), block.pose.t, block.pose.s)
+    whole = rigid.to_object(raw, block.parents)
+
+    def error(bone, rates, local):
+        one.rates = rates[None]
+        lossy = one.lossy()
+        pair = (raw, lossy) if local else (whole, rigid.to_object(lossy, block.parents))
+        return float(rigid.error(*pair, 3.0)[:, bone].max())
+
+    rates = np.where(kinds == "animated", 1, 0)
+    for local in (True, False):
+        for bone in range(block.bones):
+            chain = [bone] if local else one.chain(bone)
+            while error(bone, rates, local) >= precision:
+                more = []
+                for b in chain:
+                    for sub in range(3):
+                        if kinds[b, sub] == "animated" and rates[b, sub] < 24:
+                            more.append(rates.copy())
+                            more[-1][b, sub] += 1
+                if not more:
+                    break
+                rates = min(more, key=lambda r: error(bone, r, local))
+    return rates
+
+
+def test_segments_searched_together_equal_each_alone():
+    from tracksmith.operators import rigid
+
+    rng, rows = np.random.default_rng(7), []
+    for segment, frames in enumerate((16, 5, 1, 17)):
+        for f in range(frames):
+            for b in range(3):
+                x = rng.normal(size=10) * 0.12
+                rows.append((1, segment, segment * 100 + f, b, None if b == 0 else b - 1, *(x[:4] / np.linalg.norm(x[:4])), *(x[4:7] * 100), *(1 + 0.1 * x[7:]), "animated", "animated", "default" if b == 1 else "animated"))
+    columns = ["clip_id", "segment_index", "sample_index", "bone", "parent", *rigid.PARTS, *transform.SUBS]
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=columns)
+    ((_, _, found),) = transform._searched(pdf, 0.5, 3.0)
+    for segment in range(4):
+        assert (found.rates[segment] == searched_alone(pdf[pdf["segment_index"] == segment], 0.5)).all()
