@@ -399,3 +399,19 @@ def test_segments_searched_together_equal_each_alone():
     ((_, _, found),) = transform._searched(pdf, 0.5, 3.0)
     for segment in range(4):
         assert (found.rates[segment] == searched_alone(pdf[pdf["segment_index"] == segment], 0.5)).all()
+
+
+def test_many_segments_are_searched_in_one_group(spark, sf_dir):
+    poses = many_segments(spark, sf_dir, 256)
+    classes = poses.select("clip_id", "bone").distinct().withColumn("sub_track", F.explode(F.array(*map(F.lit, transform.SUBS)))).withColumn("class", F.lit("animated"))
+    for out in (transform.bit_rates(poses, classes, 0.05), transform.compress_poses(poses, classes, 0.05)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "_block" in plan and "collect_list" not in plan
+    assert len({(r.segment_index, r.bone) for r in transform.bit_rates(poses, classes, 0.05).collect()}) == 256 * 6
+
+
+@pytest.mark.parametrize("name", ["transform_bit_rates", "compress_roundtrip_error"])
+def test_searching_queries_run(spark, sf_dir, name):
+    from tracksmith.plans import catalog
+
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
